@@ -68,7 +68,7 @@ QUERIES = {f.__name__: f for f in (p5_found, p8_ids, p8_round_trip, p9_found, p9
 
 def _words(c: str) -> str:
     plain = rf"lower(regexp_replace({c}, '[\x{{200B}}\x{{AD}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'))"
-    return rf"list_filter(regexp_split_to_array({plain}, '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+    return rf"list_filter(regexp_split_to_array({plain}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 _P9 = f"""
