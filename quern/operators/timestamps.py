@@ -1,9 +1,9 @@
 """Mixed timestamp texts to one instant in UTC.
 
 A text is tokenised into a character-class mask: every ASCII digit becomes ``9``, every ASCII letter ``a``,
-anything else stays. Each distinct mask is mapped once to a layout (which field lies at which positions); the
-layout converts all texts of that mask at once with array arithmetic. Words (month names, day halves, zones)
-are resolved once per distinct word. Local times become instants through the transition tables of the time
+anything else stays. Each distinct mask is mapped once to a layout (which field lies at which positions); with
+the positions of its layout each text's fields are read by array arithmetic over the whole batch. What follows the clock time (half
+of the day, zone) is resolved once per distinct text. Local times become instants through the transition tables of the time
 zone database, which carry the database's version and travel from the driver to every worker, so that all
 workers use the same rules.
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import small_rows
+from ..sources.tables import columns, small_rows
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
@@ -166,10 +166,11 @@ def zone_tables() -> ZoneTables:
 
 # ---------------------------------------------------------------- masks and layouts
 
-_CLASS = np.arange(128, dtype=np.uint32)
-_CLASS[ord("0") : ord("9") + 1] = ord("9")
-_CLASS[ord("a") : ord("z") + 1] = ord("a")
-_CLASS[ord("A") : ord("Z") + 1] = ord("a")
+_CLASS = {c: "9" for c in range(ord("0"), ord("9") + 1)} | {c: "a" for c in (*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1))}
+#: The fields of layouts, in the order of their positions' columns.
+FIELDS = ("unix", "Y", "m", "d", "p", "q", "H", "M", "S", "f", "mon", "week", "T", "tail")
+#: Texts up to this length are converted together; longer ones (only fractions can be that long) apart, by their length.
+USUAL = 96
 
 _TIME = r"(?:(?:(?P<T>a)| +)(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?)?"
 _TAIL = r"(?P<tail>(?:[^9].*)?)"
@@ -240,29 +241,31 @@ class Resolver:
         return None if zone is None else (half, zone)
 
 
-def _number(codes: np.ndarray, span: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(len(codes), np.int64)
-    for i in range(*span):
-        out = out * 10 + (codes[:, i].astype(np.int64) - 48)
-    return out
-
-
-def _words(codes: np.ndarray, span: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    part = np.ascontiguousarray(codes[:, span[0] : span[1]])
-    return np.unique(part.view(f"<U{span[1] - span[0]}").ravel(), return_inverse=True)
-
-
-def _each(codes: np.ndarray, span: tuple[int, int], of) -> np.ndarray:
-    words, which = _words(codes, span)
-    return np.array([of(str(w)) for w in words], np.int64)[which]
-
-
 class Normaliser:
     """Converts arrays of texts. feeds: name to (zone or none, "DMY" or "MDY" or none)."""
 
     def __init__(self, tables: ZoneTables, feeds: dict[str, tuple[str | None, str | None]], labels: dict[str, str]):
         self.resolver, self.tables = Resolver(tables, labels), tables
-        self.feeds = {k: (self.resolver.zone(z) if z else None, o) for k, (z, o) in feeds.items()}
+        self.feeds = {k: (self.resolver.zone(z) if z else None, {"DMY": 1, "MDY": 0}.get(o, -1)) for k, (z, o) in feeds.items()}
+        self.number: dict[str, int] = {}  # of each mask's layout; -1: none
+        self.places: list[list[tuple[int, int]]] = []
+        self.zone_number: dict = {None: -1}
+        self.zones: list = []
+
+    def _layout(self, mask: str) -> int:
+        if len(self.number) > 100_000:
+            self.number, self.places = {}, []
+        layout = layout_of(mask)
+        if layout is not None:
+            self.places.append([(a, b - a) for a, b in (layout.get(f, (0, 0)) for f in FIELDS)])
+        self.number[mask] = k = -1 if layout is None else len(self.places) - 1
+        return k
+
+    def _zone(self, zone) -> int:
+        if zone not in self.zone_number:
+            self.zone_number[zone] = len(self.zones)
+            self.zones.append(zone)
+        return self.zone_number[zone]
 
     def __call__(self, texts, feeds) -> tuple[np.ndarray, np.ndarray]:
         """Microseconds since 1970 UTC, and which of them are defined."""
@@ -270,76 +273,98 @@ class Normaliser:
         utc, ok = np.zeros(n, np.int64), np.zeros(n, bool)
         clean = [x.strip() if isinstance(x, str) else "" for x in texts]
         sizes = np.fromiter(map(len, clean), np.int64, n)
-        feeds = np.array([f if isinstance(f, str) else "" for f in feeds], object)
-        for size in np.unique(sizes[sizes > 0]):
-            of_size = np.flatnonzero(sizes == size)
-            codes = np.array([clean[i] for i in of_size], f"<U{size}").view(np.uint32).reshape(-1, size)
-            masks = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], codes).astype(np.uint32)
-            distinct, which = np.unique(masks.view(f"<U{size}").ravel(), return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            bounds = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-            for k, mask in enumerate(distinct):
-                if (layout := layout_of(str(mask))) is not None:
-                    rows = order[bounds[k] : bounds[k + 1]]
-                    utc[of_size[rows]], ok[of_size[rows]] = self._convert(codes[rows], layout, feeds[of_size[rows]])
+        groups = [np.flatnonzero((sizes > 0) & (sizes <= USUAL)), *(np.flatnonzero(sizes == size) for size in np.unique(sizes[sizes > USUAL]))]
+        for rows in groups:
+            if len(rows):
+                utc[rows], ok[rows] = self._convert([clean[i] for i in rows], [feeds[i] for i in rows])
         return utc, ok
 
-    def _convert(self, codes: np.ndarray, at: dict[str, tuple[int, int]], feeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(codes)
-        if "unix" in at:
-            return _number(codes, at["unix"]) * _UNIX[at["unix"][1]], np.ones(n, bool)
-        names, of_feed = np.unique(feeds.astype(str), return_inverse=True)
-        own = [self.feeds.get(str(x), (None, None)) for x in names]
+    def _convert(self, texts: list[str], feeds: list) -> tuple[np.ndarray, np.ndarray]:
+        total = len(texts)
+        if len(self.number) + total > 200_000:
+            self.number, self.places = {}, []
+        known = self.number
+        which = np.fromiter((k if (k := known.get(mask := t.translate(_CLASS))) is not None else self._layout(mask) for t in texts), np.int64, total)
+        rows = np.flatnonzero(which >= 0)
+        all_utc, all_ok = np.zeros(total, np.int64), np.zeros(total, bool)
+        if not len(rows):
+            return all_utc, all_ok
+        texts, n = [texts[i] for i in rows], len(rows)
+        places = np.array(self.places, np.int64)[which[rows]]
+        at = {f: places[:, i, 0] for i, f in enumerate(FIELDS)}
+        size = {f: places[:, i, 1] for i, f in enumerate(FIELDS)}
+        width = max(map(len, texts))
+        codes = np.array(texts, f"<U{width}").view(np.uint32).reshape(n, width)
+        every = np.arange(n)
+
+        def number(f: str, most: int = 99) -> np.ndarray:
+            length = np.minimum(size[f], most)
+            out = np.zeros(n, np.int64)
+            for k in range(int(length.max())):
+                digit = codes[every, np.minimum(at[f] + k, width - 1)].astype(np.int64) - 48
+                out = np.where(k < length, out * 10 + digit, out)
+            return out
+
+        def words(f: str) -> tuple[np.ndarray, list[str]]:
+            has = np.flatnonzero(size[f])
+            return has, [texts[i][a : a + b] for i, a, b in zip(has.tolist(), at[f][has].tolist(), size[f][has].tolist(), strict=True)]
+
+        of_feed: dict = {}
+        own_zone, day_first = np.empty(n, np.int64), np.empty(n, np.int64)
+        for i, r in enumerate(rows.tolist()):
+            f = feeds[r]
+            if f not in of_feed:
+                zone, order = self.feeds.get(f, (None, -1)) if isinstance(f, str) else (None, -1)
+                of_feed[f] = self._zone(zone), order
+            own_zone[i], day_first[i] = of_feed[f]
         ok = np.ones(n, bool)
-        year = _number(codes, at["Y"])
-        if "p" in at:
-            day_first = np.array([{"DMY": 1, "MDY": 0}.get(o, -1) for _, o in own])[of_feed]
-            p, q = _number(codes, at["p"]), _number(codes, at["q"])
-            day, month = np.where(day_first == 1, p, q), np.where(day_first == 1, q, p)
-            ok &= day_first >= 0
-        else:
-            day = _number(codes, at["d"])
-            month = _each(codes, at["mon"], lambda w: MONTH_OF.get(w.lower(), 0)) if "mon" in at else _number(codes, at["m"])
-        ok &= (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1)
-        months = (np.where(ok, year, 1970) - 1970) * 12 + np.where(ok, month, 1) - 1
+        unix = size["unix"] > 0
+        year, month, day = number("Y"), number("m"), number("d")
+        numeric = size["p"] > 0
+        p, q = number("p"), number("q")
+        day = np.where(numeric, np.where(day_first == 1, p, q), day)
+        month = np.where(numeric, np.where(day_first == 1, q, p), month)
+        ok &= ~numeric | (day_first >= 0)
+        has, names = words("mon")
+        month[has] = [MONTH_OF.get(w.lower(), 0) for w in names]
+        ok &= unix | ((year >= 1) & (month >= 1) & (month <= 12) & (day >= 1))
+        months = np.where(ok & ~unix, (year - 1970) * 12 + month - 1, 0)
         first = months.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
         after = (months + 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
-        ok &= day <= after - first
+        ok &= unix | (day <= after - first)
         days = first + day - 1
-        if "week" in at:
-            ok &= _each(codes, at["week"], lambda w: WEEKDAY_OF.get(w.lower(), -1)) == (days + 3) % 7
-        zero = np.zeros(n, np.int64)
-        hour, minute, second = (_number(codes, at[k]) if k in at else zero for k in "HMS")
-        fraction = zero
-        if "f" in at:
-            a, b = at["f"]
-            fraction = _number(codes, (a, min(b, a + 6))) * 10 ** max(0, 6 - (b - a))
-        if "T" in at:
-            ok &= np.isin(codes[:, at["T"][0]], (ord("T"), ord("t")))
-        zones: list = [z for z, _ in own]
-        of_zone = of_feed
-        if "tail" in at:
-            words, which = _words(codes, at["tail"])
-            tails = [self.resolver.tail(str(w)) for w in words]
-            known = np.array([t is not None for t in tails])[which]
-            half = np.array([{"am": 1, "pm": 2}.get((t or ("",))[0], 0) for t in tails])[which]
-            ok &= known & ((half == 0) | (("H" in at) & (hour >= 1) & (hour <= 12)))
+        has, names = words("week")
+        ok[has] &= np.array([WEEKDAY_OF.get(w.lower(), -1) for w in names], np.int64) == (days[has] + 3) % 7
+        hour, minute, second = number("H"), number("M"), number("S")
+        fraction = number("f", 6) * 10 ** np.clip(6 - size["f"], 0, 6)
+        ok &= (size["T"] == 0) | np.isin(codes[every, np.minimum(at["T"], width - 1)], (ord("T"), ord("t")))
+        zone = own_zone
+        has, names = words("tail")
+        if len(has):
+            tails = [self.resolver.tail(w) for w in names]
+            ok[has] &= np.array([t is not None for t in tails])
+            half = np.zeros(n, np.int64)
+            half[has] = [{"am": 1, "pm": 2}.get(t[0], 0) if t else 0 for t in tails]
+            ok &= (half == 0) | ((size["H"] > 0) & (hour >= 1) & (hour <= 12))
             hour = np.where(half > 0, hour % 12 + 12 * (half == 2), hour)
-            from_text = np.array([t is not None and t[1] != "" for t in tails])[which]
-            of_zone = np.where(from_text, which + len(zones), of_feed)
-            zones = zones + [t[1] if t and t[1] != "" else None for t in tails]
+            zone = zone.copy()
+            zone[has] = [self._zone(t[1]) if t and t[1] != "" else z for t, z in zip(tails, own_zone[has].tolist(), strict=True)]
         ok &= (hour < 24) & (minute < 60) & (second < 60)
         local = days * DAY + ((hour * 60 + minute) * 60 + second) * SECOND + fraction
         utc = np.zeros(n, np.int64)
-        for k in np.unique(of_zone[ok]):
-            rows = np.flatnonzero((of_zone == k) & ok)
-            if zones[k] is None:
-                ok[rows] = False
-            elif isinstance(zones[k], str):
-                utc[rows], ok[rows] = self.tables.to_utc(local[rows], zones[k])
+        for k in np.unique(zone[ok & ~unix]):
+            here = np.flatnonzero((zone == k) & ok & ~unix)
+            if k < 0:
+                ok[here] = False
+            elif isinstance(self.zones[k], str):
+                utc[here], ok[here] = self.tables.to_utc(local[here], self.zones[k])
             else:
-                utc[rows] = local[rows] - zones[k]
-        return utc, ok
+                utc[here] = local[here] - self.zones[k]
+        if unix.any():
+            scale = np.where(size["unix"] == 10, SECOND, np.where(size["unix"] == 13, 1000, 1))
+            utc, ok = np.where(unix, number("unix") * scale, utc), ok | unix
+        all_utc[rows], all_ok[rows] = utc, ok
+        return all_utc, all_ok
 
 
 # ---------------------------------------------------------------- Spark
@@ -351,11 +376,11 @@ def instant_column(feeds: DataFrame, labels: DataFrame):
     feeds (feed, zone_name, date_order) and labels (label, zone_name) are configuration tables; they are read
     here, once, and travel with the function. Of several rows of one name the least values hold."""
     feed_of: dict = {}
-    for r in sorted(small_rows(feeds.select("feed", "zone_name", "date_order"), MOST_FEEDS, "feeds"), key=lambda r: tuple(map(str, r))):
+    for r in sorted(small_rows(columns(feeds, "feed", "zone_name", "date_order"), MOST_FEEDS, "feeds"), key=lambda r: tuple(map(str, r))):
         if r.feed is not None:
             feed_of.setdefault(r.feed, (r.zone_name, r.date_order))
     label_of: dict = {}
-    for r in sorted(small_rows(labels.select("label", "zone_name"), MOST_FEEDS, "zone_labels"), key=lambda r: tuple(map(str, r))):
+    for r in sorted(small_rows(columns(labels, "label", "zone_name"), MOST_FEEDS, "zone_labels"), key=lambda r: tuple(map(str, r))):
         if r.label is not None and r.zone_name is not None:
             label_of.setdefault(r.label, r.zone_name)
     tables, made = zone_tables(), []
@@ -367,8 +392,10 @@ def instant_column(feeds: DataFrame, labels: DataFrame):
         utc, ok = made[0](text.to_numpy(object), feed.to_numpy(object))
         return pd.Series(pd.arrays.IntegerArray(utc, ~ok))
 
+    once = instant.asNondeterministic()  # else a filter on the result would convert each text twice
+
     def column(text: Column, feed: Column) -> Column:
-        return instant(text, feed)
+        return once(text, feed)
 
     return column
 
