@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, whole_number
+from ..sources.tables import columns
 from .timestamps import DAY
 
 
@@ -33,13 +34,11 @@ def trailing_totals(asked: DataFrame, totals: DataFrame, periods: tuple[int, ...
     longest = max(periods)
     width = F.lit(longest)
     each = asked.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("copies"))
-    spread = each.where("day is not null").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("day") - (longest - 1)) / width), F.floor(F.col("day") / width))))
+    spread = each.withColumn("bucket", F.explode_outer(F.sequence(F.floor((F.col("day") - (longest - 1)) / width), F.floor(F.col("day") / width))))
     daily = totals.select(F.col("entity").alias("e"), F.col("day").alias("d"), "total", F.floor(F.col("day") / width).alias("b"))
     near = F.col("entity").eqNullSafe(F.col("e")) & (F.col("bucket") == F.col("b")) & (F.col("d") <= F.col("day")) & (F.col("d") > F.col("day") - longest)
     sums = [F.sum(F.when(F.col("d") > F.col("day") - n, F.col("total"))).alias(f"total_{n}") for n in periods]
-    found = spread.join(daily, near).groupBy("entity", "day").agg(*sums)
-    found = found.select(F.col("entity").alias("e"), F.col("day").alias("d"), *(f"total_{n}" for n in periods))
-    out = each.join(found, F.col("entity").eqNullSafe(F.col("e")) & (F.col("day") == F.col("d")), "left").drop("e", "d")
+    out = spread.join(daily, near, "left").groupBy("entity", "day", "copies").agg(*sums)
     for n in periods:
         total = F.when(F.col("day").isNotNull(), F.coalesce(f"total_{n}", F.lit(0)).cast("bigint"))
         out = out.withColumn(f"total_{n}", total).withColumn(f"average_{n}", F.col(f"total_{n}") / F.lit(float(n)))
@@ -49,6 +48,7 @@ def trailing_totals(asked: DataFrame, totals: DataFrame, periods: tuple[int, ...
 def sales_by_day(sales: DataFrame, instant) -> DataFrame:
     """(entity, day, total) of sales. instant: the function of timestamps.instant_column. Each ticket counts once, by its row of the least sale_id; rows without ticket
     count each for itself; sold counts if it is a whole number; days are days since 1970 in UTC."""
+    sales = columns(sales, "sale_id", "ticket", "date", "feed", "cust", "sold")
     ticket = strip(F.col("ticket"))
     known = F.when(ticket != "", ticket)
     once = sales.select(known.alias("ticket"), F.when(known.isNull(), F.col("sale_id")).alias("lone"), F.struct("sale_id", "date", "feed", "cust", "sold").alias("row"))
