@@ -217,7 +217,7 @@ class Frame:
         parsed = [F.col(c) for c in self.source.columns]
         for predicate, parts in self.filters:
             given = [parsed[p] if isinstance(p, int) else self._value(p, parsed, strict) for p in parts]
-            typed = typed.where(F.coalesce(_call(predicate, strict, *given).cast("boolean"), F.lit(False)))
+            typed = typed.where(_call(predicate, strict, *given).cast("boolean"))  # null drops the row; the bare condition can reach the scan
         return typed, parsed
 
     def rows(self, strict: bool = False, df: DataFrame | None = None) -> DataFrame:
@@ -325,12 +325,13 @@ def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
             out = out.join(p, "__one")
         return out.drop("__one")
     out = parts[0]
-    for p in parts[1:]:
-        other = p.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in p.columns if c not in keys))
+    for p in parts[1:]:  # a listing has no row for a group without values
+        other = p.select(*(F.col(k).alias(f"__{k}") for k in keys), F.lit(True).alias("__other"), *(c for c in p.columns if c not in keys))
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        out = out.join(other, on, "left").drop(*(f"__{k}" for k in keys))
+        kept = [c for c in out.columns if c not in keys]
+        out = out.join(other, on, "full").select(*(F.when(F.col("__other"), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys), *kept, *(c for c in p.columns if c not in keys))
     return out
 
 

@@ -57,19 +57,11 @@ def _ranked(k: int, down: bool):
         c = F.col(value)
         order = Window.partitionBy(*keys).orderBy(c.desc() if down else c.asc())
         top = df.where(c.isNotNull()).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
-        lists = top.groupBy(*keys).agg(F.sort_array(F.collect_list(value), not down).alias("value"))
-        return df.select(*keys).distinct().join(lists, _same(df, lists, keys), "left").select(*(df[x] for x in keys), "value") if keys else lists
+        return top.groupBy(*keys).agg(F.sort_array(F.collect_list(value), not down).alias("value"))
 
     return listing
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for x in keys:
-        on = on & a[x].eqNullSafe(b[x])
-    return on
-
-
 max = Aggregate("max", lambda c, strict: F.max(c))  # noqa: A001
 min = Aggregate("min", lambda c, strict: _strict(c, strict, F.min(c)))  # noqa: A001
 sum = Aggregate("sum", lambda c, strict: _strict(c, strict, F.sum(c)))  # noqa: A001

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import integer_key, strip
+from ..sources.tables import columns
 from .asof import last_before
 
 #: Keys of one stretch of the number line are matched in one task's window.
@@ -49,8 +50,8 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         number = integer_key(F.col("key_text"))
         return df.withColumn("key", number).withColumn("other", F.when(number.isNull() & (text != ""), text)).drop("key_text").where("key is not null or other is not null")
 
-    refs = keyed(references.select("table_name", "row_id", "key_text", "loaded_at"))
-    own = keyed(parents.select("parent_id", "key_text", "loaded_at", F.coalesce("removed", F.lit(False)).alias("removed")))
+    refs = keyed(columns(references, "table_name", "row_id", "key_text", "loaded_at"))
+    own = keyed(columns(parents, "parent_id", "key_text", "loaded_at", "removed").withColumn("removed", F.coalesce("removed", F.lit(False))))
     beyond = keys_beyond_runs(refs, key_runs(own)).select(F.col("key").alias("orphan"))
     flagged = refs.where("key is not null").join(beyond, F.col("key") == F.col("orphan"), "left")
     texts = own.where("other is not null").select(F.col("other").alias("known")).distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped_or_null
+from ..sources.tables import columns
 
 CELLS = 4096
 #: Keys with at least this share of the rows are never sorted in one task.
@@ -28,7 +29,7 @@ HOT = 1 / 500
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """(key_value, n_rows) of the trimmed, non-blank keys that hold at least `share` of all rows."""
-    keys = df.select(stripped_or_null(F.col(key)).alias("key_value"))
+    keys = columns(df, key).select(stripped_or_null(F.col(key)).alias("key_value"))
     cell = F.pmod(F.xxhash64("key_value"), F.lit(CELLS))
     histogram = keys.groupBy(F.when(F.col("key_value").isNotNull(), cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     counted = histogram.collect()  # at most CELLS + 1 rows
@@ -40,7 +41,7 @@ def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: tuple[float, ...], hot_share: float = HOT) -> DataFrame:
     """(key_value, q, quantile): exact quantiles of the double column `value` for each trimmed, non-blank key."""
-    rows = df.select(stripped_or_null(F.col(key)).alias("key_value"), F.col(value).cast("double").alias("v")).where("key_value is not null and abs(v) < double('Infinity')")
+    rows = columns(df, key, value).select(stripped_or_null(F.col(key)).alias("key_value"), F.col(value).cast("double").alias("v")).where("key_value is not null and abs(v) < double('Infinity')")
     hot = sorted(r.key_value for r in hot_keys(df, key, hot_share).collect())  # at most 1 / hot_share rows
     cold = rows.where(~F.col("key_value").isin(hot)) if hot else rows
     at = Window.partitionBy("key_value")

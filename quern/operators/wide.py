@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DECIMAL, WHOLE, strip
 from ..sources.shared import written
-from ..sources.tables import small_rows
+from ..sources.tables import columns, small_rows
 
 FREQUENT = 1 / 12
 #: The columns of a wide table are its schema, so their number is bounded.
@@ -44,7 +44,8 @@ def usable(value: Column, kind: Column) -> Column:
 
 def cells(rows: DataFrame, measures: DataFrame) -> DataFrame:
     """(family_id, measure, value): the settled cells, values as canonical text."""
-    kinds = measures.where("measure is not null").groupBy("measure").agg(F.min("value_type").alias("kind"))
+    kinds = columns(measures, "measure", "value_type").where("measure is not null").groupBy("measure").agg(F.min("value_type").alias("kind"))
+    rows = columns(rows, "row_no", "family_id", "measure", "value")
     entity = strip(F.col("family_id"))
     named = rows.select("row_no", F.when(entity != "", entity).alias("family_id"), attribute_name(F.col("measure")).alias("measure"), "value")
     typed = named.where("family_id is not null and measure is not null").join(kinds, "measure")
@@ -54,7 +55,7 @@ def cells(rows: DataFrame, measures: DataFrame) -> DataFrame:
 
 def widen(rows: DataFrame, measures: DataFrame, frequent: float = FREQUENT) -> DataFrame:
     """One row per family_id, one column of the right type per measure."""
-    schema = {r.measure: r.value_type for r in sorted(small_rows(measures.where("measure is not null").select("measure", "value_type"), MOST_COLUMNS, "measures"), key=lambda r: (r.measure, str(r.value_type)), reverse=True)}
+    schema = {r.measure: r.value_type for r in sorted(small_rows(columns(measures, "measure", "value_type").where("measure is not null"), MOST_COLUMNS, "measures"), key=lambda r: (r.measure, str(r.value_type)), reverse=True)}
     order = sorted(m for m, kind in schema.items() if kind in TYPES)
     entities = cells(rows, measures).groupBy("family_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("measure", "value")))).alias("cells"))
     gathered = written(entities.withColumn("signature", F.array_join(F.map_keys("cells"), "\n")))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from .data_queries import QUERIES
+    from .data_queries import QUERIES as data
+    from .frame_queries import QUERIES as frames
 
-    return dict(QUERIES)
+    return frames | data
 
 
 def all_oracles() -> dict:
-    from .data_queries import ORACLES
+    from .data_queries import ORACLES as data
+    from .frame_queries import ORACLES as frames
 
-    return dict(ORACLES)
+    return frames | data

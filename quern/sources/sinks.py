@@ -87,7 +87,7 @@ def compute(
     if workers:
         plain = plain.coalesce(workers)
     first = None if header is False else titles
-    line = output([F.col(c) for c in plain.columns]) if output else F.to_csv(F.struct(*plain.columns), {"sep": sep, "escape": '"', "emptyValue": "", "nullValue": ""})
+    line = output([F.col(c) for c in plain.columns]) if output else F.to_csv(F.struct(*plain.columns), {"sep": sep, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     write_lines(plain.select(F.coalesce(line, F.lit("")).alias("value")), path, None if first is None else _line(first, sep), partitioned)
     return frame_over(path, header is not False, sep, frame, titles)
 
