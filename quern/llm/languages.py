@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.tables import columns
 
 #: Documents of each label that the dictionaries are made from, and characters taken of each of them.
 SAMPLE, SAMPLE_CHARACTERS = 60, 6_000
@@ -182,6 +183,7 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> tuple[dict[str, list[str]], dict[str, int]]:
     """Texts of `each` documents per two-letter label (so of at most 676 labels), the least by a hash of the key; and the number of documents of each label."""
+    docs = columns(docs, "doc_id", "lang", "text")
     labelled = docs.where(F.length("text") > 200).select("doc_id", label_language(F.col("lang")).alias("language"))
     labelled = labelled.where("language is not null and doc_id is not null")
     counts = {r.language: r.n for r in labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -215,6 +217,6 @@ def identify(docs: DataFrame, languages: Languages | None = None) -> DataFrame:
             at = pa.array(rows, pa.int64())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["doc_id", "label", "segment", "lang", "confidence"])
 
-    cols = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["lang"].alias("label"), docs["text"].alias("text"))
+    cols = columns(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("label"), "text")
     return cols.mapInArrow(run, "doc_id bigint, label string, segment int, lang string, confidence double")
 

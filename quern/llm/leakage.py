@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import columns
 from .arrays import LETTER, NUMBER, character_classes, code_points, invisible_characters, pieces, strings, widths
 
 N = 5
@@ -116,7 +117,7 @@ class ItemGrams:
 def item_blocks(items: DataFrame, n: int, most: int = BLOCK_GRAMS) -> Iterator[ItemGrams]:
     """Items come to the driver partition by partition, and leave it in blocks of at most about `most` n-grams."""
     ids, texts, size = [], [], 0
-    for r in items.select("item_id", "text").toLocalIterator():
+    for r in columns(items, "item_id", "text").toLocalIterator():
         if r.item_id is None or not r.text:
             continue
         if ids and size + len(r.text) // 2 > most * 5:
@@ -132,7 +133,7 @@ def item_blocks(items: DataFrame, n: int, most: int = BLOCK_GRAMS) -> Iterator[I
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, n: int = N, most: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, item_id, words, item_words) of the documents that hold at least `share` of an item's words."""
     schema = "doc_id bigint, item_id bigint, words bigint, item_words bigint"
-    cols = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+    cols = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     found = docs.sparkSession.createDataFrame([], schema)
     for number, grams in enumerate(item_blocks(items, n, most)):
         sent = docs.sparkSession.sparkContext.broadcast(grams)

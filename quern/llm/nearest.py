@@ -14,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import columns
+
 
 def pair_nearest(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     """(left_key, right_key, difference) of left (entity, at, left_key) and right (entity, at, right_key); at is a bigint."""
+    left, right = columns(left, "entity", "at", "left_key"), columns(right, "entity", "at", "right_key")
     width = F.lit(tolerance + 1)
     bucket = F.floor(F.col("at") / width)
     a = left.where("entity is not null and at is not null").select("entity", "at", bucket.alias("bucket"), F.lit(1).alias("side"), F.col("left_key"), F.lit(None).cast(right.schema["right_key"].dataType).alias("right_key"))

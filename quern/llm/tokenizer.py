@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.tables import columns
 from .arrays import LETTER, PIECE, SPACE, character_classes, code_points, pieces, ragged, strings, widths
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -300,7 +301,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    named = columns(docs, key, text).toDF("doc_id", "text")
+    return named.withColumn("doc_id", named["doc_id"].cast("bigint")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -317,4 +319,4 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([text_of(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return columns(encoded, "doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
