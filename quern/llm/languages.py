@@ -3,9 +3,10 @@
 For each language a raw-content dictionary for zstandard is filled with texts of that language; a text belongs to the language whose dictionary compresses it to
 the fewest bytes. A result whose lead over the second is narrow is rejected. Confidence is that lead: 1 - smallest / second smallest size.
 
-The dictionaries come from a bounded sample (SAMPLE documents of each label, chosen by a hash of their key from the whole table). As labels may be wrong, the sample is cleaned first. Labels are taken from the most frequent (over all
+The dictionaries come from a bounded sample (SAMPLE documents of each label, chosen by a hash of their key from the whole table). As labels may be wrong, the sample is cleaned first: of each label, texts that the others compress far worse than usual leave. Labels are taken from the most frequent (over all
 documents) on; one whose held-out texts its own dictionary compresses hardly better than those before it, or one of those as well as its own texts, is another name for it, or a mixture, and none of the languages. Then half of the sample judges the other
-half and the reverse, documents that aren't judged to be of their label leave, and so do labels most of whose documents leave, until nothing changes. Only
+half and the reverse: documents that aren't judged to be of their label leave, then paragraphs in another language, then labels most of whose documents
+left, until nothing changes. Only
 languages whose texts take a similar number of bytes per character are tried for a text, which tells scripts apart.
 
 Defined results: segment 0 is the document (the language of most of its characters, over its running text), segment k its k-th paragraph of running text in another language, counted from 1 over the parts between
@@ -28,14 +29,16 @@ from ..sources.tables import columns
 
 #: Documents of each label that the dictionaries are made from, and characters taken of each of them.
 SAMPLE, SAMPLE_CHARACTERS = 60, 6_000
-#: Bytes of a dictionary, and of the pieces it is made of.
-DICTIONARY, PART = 16_384, 400
+#: Bytes of a dictionary, and characters of the pieces it is made of.
+DICTIONARY, PART = 16_384, 300
 LEVEL = 1
 #: Least lead over the second language, as a share and in bytes, and least letters (or half as many ideographs) and words of running text.
 MARGIN, MARGIN_BYTES, LETTERS, WORDS = 0.03, 6, 24, 5
-#: A label's held-out texts must be this much smaller by its own dictionary than by those of more frequent labels, and by these
-#: that many times larger than those labels' own held-out texts.
-LEAD, LIKENESS = 0.05, 1.15
+#: A label's held-out texts must be this much smaller by its own dictionary than by those of more frequent labels; and by these that many
+#: times larger than those labels' own held-out texts, unless the lead is sure and doesn't come from a few texts that may be copies.
+LEAD, LIKENESS, SURE, FEW = 0.05, 1.15, 0.3, 6
+#: Texts of a label's sample that are left so many times larger than usual are strange to it.
+STRANGE = 1.3
 #: Bytes per character may differ by this factor at most.
 SCRIPT = 1.45
 
@@ -81,7 +84,7 @@ class Languages:
     def tried(self, ratio: float) -> list:
         key = round(ratio * 20)
         if key not in self._of_ratio:
-            near = [(x, self.compressors[x]) for x, r in self.ratio.items() if max(r, key / 20) <= SCRIPT * min(r, key / 20)]
+            near = [(x, self.compressors[x]) for x, r in self.ratio.items() if _near(r, key / 20)]
             self._of_ratio[key] = near or list(self.compressors.items())
         return self._of_ratio[key]
 
@@ -120,9 +123,8 @@ def dictionary_of(texts: list[str]) -> bytes:
     for t in texts:
         for paragraph in _EMPTY_LINES.split(t):
             if running := running_text(paragraph):
-                data = running.encode()
-                for a in range(0, len(data), PART):
-                    found[data[a : a + PART]] = None
+                for a in range(0, len(running), PART):
+                    found[running[a : a + PART].encode()] = None
     out, size = [], 0
     for data in sorted(found, key=lambda x: (zlib.crc32(x), x)):
         if size >= DICTIONARY:
@@ -146,10 +148,32 @@ def _median(values: list[float]) -> float:
     return sorted(values)[len(values) // 2]
 
 
+def _near(a: float, b: float) -> bool:
+    return max(a, b) <= SCRIPT * min(a, b)
+
+
+def _alike(texts: list[str]) -> list[str]:
+    """The texts without those that the other half's dictionary compresses far worse than it usually does."""
+    if len(texts) < 4:
+        return texts
+    halves = [Languages({"": dictionary_of(texts[h::2])}) for h in (0, 1)]
+    left = [_best(halves[1 - i % 2], t)[0] / _size(t) for i, t in enumerate(texts)]
+    return [t for t, x in zip(texts, left, strict=True) if x <= STRANGE * _median(left)]
+
+
+def _own_part(languages: Languages, text: str, language: str) -> str | None:
+    """The text without its paragraphs in other languages; none if the language isn't the text's."""
+    found = languages.segments(text)
+    if not found or found[0][1] != language:
+        return None
+    foreign = {k for k, _, _ in found[1:]}
+    return "\n\n".join([p for k, p in enumerate(_EMPTY_LINES.split(text), 1) if k not in foreign]) if foreign else text
+
+
 def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) -> Languages:
     """Languages of labelled texts of which some have a wrong label; counts: documents of each label."""
     kept = {x: [t for t in texts if any(map(running_text, _EMPTY_LINES.split(t)))] for x, texts in samples.items()}
-    kept = {x: t for x, t in kept.items() if t}
+    kept = {x: _alike(t) for x, t in kept.items() if t}
     counts = counts or {x: len(t) for x, t in kept.items()}
     own: dict[str, bytes] = {}
     usual: dict[str, float] = {}  # share that is left of held-out texts of a language by its dictionary
@@ -163,7 +187,7 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
                 size, best = _best(others, t)
                 leads.append(1 - _best(mine, t)[0] / size)
                 likeness.append(size / _size(t) / usual[best])
-            if not held or _median(leads) < LEAD or _median(likeness) < LIKENESS:
+            if not held or (lead := _median(leads)) < LEAD or _median(likeness) < LIKENESS and (lead < SURE or len(kept[x]) < FEW):
                 continue
         own[x] = content
         usual[x] = _median([_best(Languages({x: content}), t)[0] / _size(t) for t in held or kept[x]])
@@ -172,10 +196,10 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
         halves = [Languages({x: c for x, texts in kept.items() if (c := dictionary_of(texts[h::2] or texts))}) for h in (0, 1)]
         left = {}
         for x, texts in kept.items():
-            good = [t for i, t in enumerate(texts) if (s := halves[1 - i % 2].segments(t)) and s[0][1] == x]
+            good = [own for i, t in enumerate(texts) if (own := _own_part(halves[1 - i % 2], t, x))]
             if len(good) * 2 > len(texts):
                 left[x] = good
-        if {x: len(t) for x, t in left.items()} == {x: len(t) for x, t in kept.items()}:
+        if left == kept:
             break
         kept = left
     return Languages({x: c for x, texts in kept.items() if (c := dictionary_of(texts))})

@@ -167,16 +167,18 @@ def without_spans(docs: DataFrame, items: DataFrame, n: int = N, most: int = BLO
     Words are found in the raw text with invisible characters inside them allowed."""
     out = docs
     for grams in item_blocks(items, n, most):
-        sent = docs.sparkSession.sparkContext.broadcast(grams)
+        out = out.withColumn("text", _cutter(docs.sparkSession.sparkContext.broadcast(grams))(F.col("text")))
+    return out
 
-        @F.pandas_udf("string")
-        def cut(texts: pd.Series, sent=sent) -> pd.Series:
-            g = sent.value
-            known = {tuple(w) for w in g.windows.tolist()}
-            return texts.map(lambda t: _cut(t, g.vocabulary, known, g.n) if isinstance(t, str) else None)
 
-        out = out.withColumn("text", cut(F.col("text")))
-    return out
+def _cutter(sent):
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        g = sent.value
+        known = {tuple(w) for w in g.windows.tolist()}
+        return texts.map(lambda t: _cut(t, g.vocabulary, known, g.n) if isinstance(t, str) else None)
+
+    return cut
 
 
 def _cut(text: str, vocabulary: dict[bytes, int], known: set[tuple], n: int) -> str:

@@ -1,0 +1,30 @@
+"""Nearest pairs against all pairs."""
+
+import random
+
+import pytest
+
+from quern.llm.nearest import pair_nearest
+
+
+@pytest.mark.parametrize("seed,tolerance", [(1, 7), (2, 0), (3, 100)])
+def test_against_all_pairs(spark, seed, tolerance):
+    rng = random.Random(seed)
+    left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-60, 60)]), i) for i in range(200)]
+    right = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(-90, 90, 3)]), i) for i in range(120)]
+    left += left[:4]
+    a = spark.createDataFrame([(*x, 1) for x in left], "entity string, at bigint, left_key int, bucket int")
+    b = spark.createDataFrame([(*x, 1) for x in right], "entity string, at bigint, right_key int, side int")
+    want = []
+    for e, t, i in left:
+        near = [(abs(t - u), k) for f, u, k in right if e is not None and e == f and t is not None and u is not None and abs(t - u) <= tolerance]
+        if near:
+            want.append((i, min(near)[1], min(near)[0]))
+    assert sorted(map(tuple, pair_nearest(a, b, tolerance).collect())) == sorted(want)
+    assert pair_nearest(a.limit(0), b, tolerance).collect() == [] and pair_nearest(a, b.limit(0), tolerance).collect() == []
+
+
+def test_the_plan_forms_no_pairs(spark):
+    a = spark.createDataFrame([("a", 1, 1)], "entity string, at bigint, left_key int")
+    b = spark.createDataFrame([("a", 1, 1)], "entity string, at bigint, right_key int")
+    assert "Join" not in pair_nearest(a, b, 5)._jdf.queryExecution().executedPlan().toString()
