@@ -183,7 +183,7 @@ def test_trailing_totals(spark):
     sold = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-40, 60)]), rng.choice([None, *range(-3, 9)])) for _ in range(300)]
     asked = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-50, 90)])) for _ in range(150)]
     totals = rolling.daily_totals(spark.createDataFrame(sold, "cust string, day bigint, v bigint"), "cust", "day", "v")
-    got = rolling.trailing_totals(spark.createDataFrame(asked, "entity string, day bigint"), totals)
+    got = rolling.trailing_totals(spark.createDataFrame(asked, "entity string, day bigint"), totals).select("entity", "day", "total_7", "average_7", "total_30", "average_30")
     want = [(e, d, *((None, None) if d is None else (t := sum(v for k, x, v in sold if k == e and None not in (x, v) and d - n < x <= d), t / n))) for e, d in asked for n in (7,)]
     want = [(*w, *((None, None) if w[1] is None else (t := sum(v for k, x, v in sold if k == w[0] and None not in (x, v) and w[1] - 30 < x <= w[1]), t / 30))) for w in want]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
