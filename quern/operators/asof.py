@@ -12,30 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, bucket: Column | str, value: str, descending: bool = False) -> DataFrame:
+def last_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, bucket: Column | str, value: str, descending: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """left with a column `value`: the right side's `value` (never null there) of the last row at or before.
 
     Both sides have the columns `keys` and `time`; the right side also has `value`, of one row per (keys, time).
-    bucket: an expression over `time` that never decreases with it. descending: the first row at or after instead. Null keys equal each other; a null time
+    bucket: an expression over `time` that never decreases with it. descending: the first row at or after instead.
+    asked: rows with the same keys and times as the left's, if they are cheaper to get than the left itself. Null keys equal each other; a null time
     on the left finds nothing, on the right is found by nothing. The left's other columns stay; their names may not begin with __."""
     cut = F.expr(bucket) if isinstance(bucket, str) else bucket
     along = (lambda c: F.col(c).desc()) if descending else F.col
     own = [c for c in left.columns if c not in (*keys, time)]
-    a = left.select(*keys, time, F.lit(1).alias("__side"), F.struct(*(left[c] for c in own) or [F.lit(0).alias("__none")]).alias("__own"), F.lit(None).cast(right.schema[value].dataType).alias(value))
-    b = right.where(F.col(time).isNotNull()).select(*keys, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), value)
-    both = a.unionByName(b).withColumn("__bucket", cut)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(along(time), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("__near", F.last(value, ignorenulls=True).over(inside)).where("__side = 1")
-    # one row per (keys, bucket) of the right: its last value; one empty row for each bucket of the left
-    ends = b.withColumn("__bucket", cut).groupBy(*keys, "__bucket").agg((F.min_by if descending else F.max_by)(value, time).alias("__end"))
-    asked = a.withColumn("__bucket", cut).select(*keys, "__bucket").distinct().withColumn("__end", F.lit(None).cast(right.schema[value].dataType))
-    steps = ends.unionByName(asked).groupBy(*keys, "__bucket").agg(F.first("__end", ignorenulls=True).alias("__end"))
-    before = Window.partitionBy(*keys).orderBy(along("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).where("__carried is not null").drop("__end")
-    names = {k: f"__k{i}" for i, k in enumerate(keys)}
-    carried = carried.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("__bucket").alias("__b"), "__carried")
-    same = F.col("__bucket") == F.col("__b")
-    for k, n in names.items():
-        same = same & F.col(k).eqNullSafe(F.col(n))
+    kind = right.schema[value].dataType
+    key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key")  # never null itself, so plain equality holds for null keys too
+    a = left.select(key, time, F.lit(1).alias("__side"), F.struct(*(left[c] for c in own) or [F.lit(0).alias("__none")]).alias("__own"), F.lit(None).cast(kind).alias(value))
+    b = right.where(F.col(time).isNotNull()).select(key, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), value)
+    cut = F.expr(bucket) if isinstance(bucket, str) else bucket
+    a, b = a.withColumn("__bucket", cut), b.withColumn("__bucket", cut)
+    inside = Window.partitionBy("__key", "__bucket").orderBy(along(time), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    near = a.unionByName(b).withColumn("__near", F.last(value, ignorenulls=True).over(inside)).where("__side = 1")
+    # one row per bucket of either side, made small before it is shuffled; the join below then needs no further shuffle of the left side
+    ends = b.groupBy("__key", "__bucket").agg((F.min_by if descending else F.max_by)(value, time).alias("__end"))
+    asked = (left if asked is None else asked).select(key, cut.alias("__bucket")).where("__bucket is not null").distinct().withColumn("__end", F.lit(None).cast(kind))
+    steps = ends.unionByName(asked).groupBy("__key", "__bucket").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = Window.partitionBy("__key").orderBy(along("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).where("__carried is not null")
+    carried = carried.select(F.col("__key").alias("__k"), F.col("__bucket").alias("__b"), "__carried")
     found = F.when(F.col(time).isNotNull(), F.coalesce("__near", "__carried"))
-    return near.join(carried, same, "left").select(*keys, time, *(F.col("__own")[c].alias(c) for c in own), found.alias(value))
+    out = near.join(carried, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__b")), "left")
+    return out.select(*(F.col("__key")[f"k{i}"].alias(k) for i, k in enumerate(keys)), time, *(F.col("__own")[c].alias(c) for c in own), found.alias(value))

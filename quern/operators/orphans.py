@@ -58,13 +58,10 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     flagged = flagged.withColumn("missing", F.col("orphan").isNotNull()).drop("orphan").unionByName(
         refs.where("key is null").join(texts, F.col("other") == F.col("known"), "left").withColumn("missing", F.col("known").isNull()).drop("known")
     )
-    missing = flagged.where("missing").withColumn("reason", F.lit("missing"))
-    live = flagged.where("not missing and loaded_at is not null").drop("missing")
     history = own.where("loaded_at is not null").groupBy("key", "other", "loaded_at").agg(F.max_by("removed", F.struct("parent_id", "removed")).alias("gone"))
-    state = last_before(live, history, ["key", "other"], "loaded_at", "date_trunc('day', loaded_at)", "gone")
-    stale = state.where("gone is null or gone").withColumn("reason", F.when(F.col("gone"), "deleted").otherwise("late"))
-    cols = ["table_name", "row_id", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason"]
-    return missing.select(*cols).unionByName(stale.select(*cols))
+    state = last_before(flagged, history, ["key", "other"], "loaded_at", "date_trunc('day', loaded_at)", "gone", asked=refs)
+    reason = F.when(F.col("missing"), "missing").when(F.col("loaded_at").isNull(), None).when(F.col("gone").isNull(), "late").when(F.col("gone"), "deleted")
+    return state.select("table_name", "row_id", F.date_format("loaded_at", "yyyy-MM").alias("period"), reason.alias("reason")).where("reason is not null")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
