@@ -58,7 +58,7 @@ def widen(rows: DataFrame, measures: DataFrame, frequent: float = FREQUENT) -> D
     schema = {r.measure: r.value_type for r in sorted(small_rows(columns(measures, "measure", "value_type").where("measure is not null"), MOST_COLUMNS, "measures"), key=lambda r: (r.measure, str(r.value_type)), reverse=True)}
     order = sorted(m for m, kind in schema.items() if kind in TYPES)
     entities = cells(rows, measures).groupBy("family_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("measure", "value")))).alias("cells"))
-    gathered = written(entities.withColumn("signature", F.array_join(F.map_keys("cells"), "\n")))
+    gathered = written(entities.withColumn("signature", F.array_join(F.map_keys("cells"), "\n")).sortWithinPartitions("signature"))  # so that a signature's scan skips the rest
     sets = gathered.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     total = gathered.count()
     often = sorted(r.signature for r in sets.where(F.col("n") >= max(1, total * frequent)).collect())  # at most 1 / frequent rows
