@@ -24,7 +24,7 @@ from ..sources.tables import columns
 
 CELLS = 4096
 #: Keys with at least this share of the rows are never sorted in one task.
-HOT = 1 / 500
+HOT = 1 / 4000
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:

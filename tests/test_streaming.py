@@ -1,0 +1,25 @@
+"""Frames over streams give what they give over files."""
+
+import quern as q
+from quern.functions import opaque
+from quern.streaming.follow import follow_folder
+
+
+def test_a_folder_is_followed(spark, employees, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(open(employees).read())
+    f = q.dataframe(employees).set_type("Salary", "double").filter("Salary", lambda s: s <= 800).operate(opaque.concat, ["Employee", "Salary"], "new")
+    g = q.dataframe(employees).set_type("Salary", "double").group_by("Department").aggregate("max", "Salary", "most")
+    for frame, mode, name in ((f, "append", "rows"), (g, "complete", "groups")):
+        stream = follow_folder(frame, str(folder)).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        try:
+            stream.processAllAvailable()
+            if name == "rows":
+                (folder / "b.csv").write_text("Employee,EmployeeName,Department,Salary,UpdateDate\n9,Zoe,,5,\n")
+                stream.processAllAvailable()
+            got = sorted(map(tuple, spark.table(name).collect()), key=repr)
+        finally:
+            stream.stop()
+        extra = [("9", "Zoe", "", 5.0, "", "95.0")] if name == "rows" else [("", 5.0)]
+        assert got == sorted([*map(tuple, frame.to_df().collect()), *extra], key=repr)
