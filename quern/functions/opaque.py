@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,8 +50,7 @@ def udf(fn: Callable, returns: str, name: str | None = None) -> Op:
             return pd.Series(out, dtype=object)
 
         def call(*columns: Column) -> Column:
-            # pandas_udf wants annotations; one variadic function serves any number of columns
-            return F.pandas_udf(run, returns, F.PandasUDFType.SCALAR)(*columns)
+            return F.pandas_udf(run, returns)(*columns)
 
         return call
 
@@ -60,8 +60,11 @@ def udf(fn: Callable, returns: str, name: str | None = None) -> Op:
 def vector(fn: Callable[..., pd.Series], returns: str, name: str | None = None) -> Op:
     """A Python function of whole pandas series, one per column."""
 
+    def run(*series: pd.Series) -> pd.Series:
+        return fn(*series)
+
     def call(*columns: Column) -> Column:
-        return F.pandas_udf(fn, returns, F.PandasUDFType.SCALAR)(*columns)
+        return F.pandas_udf(run, returns)(*columns)
 
     return Op(name or getattr(fn, "__name__", "fn"), call, call)
 
@@ -70,12 +73,12 @@ def group_udf(fn: Callable[[list], object], returns: str, many: bool = False, na
     """A Python function of all values of a group (which must fit into memory); many: it returns a list whose elements become rows."""
     kind = f"array<{returns}>" if many else returns
 
-    def run(values: pd.Series) -> object:
+    def run(values: pd.Series) -> Any:
         found = fn(list(values.astype(object).where(values.notna(), None)))
         return list(found) if many else found
 
     def call(column: Column) -> Column:
-        return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)(column)
+        return F.pandas_udf(run, kind)(column)
 
     return Aggregate(name or getattr(fn, "__name__", "fn"), opaque=call, many=many)
 

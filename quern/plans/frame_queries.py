@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import cbind, dataframe, dcast, inner_join, left_join, melt, outer_join,
 from ..frame import Frame
 from ..functions import aggregates as agg
 from ..functions import opaque
+from ..sources.shared import deleted_at_exit, shared_folder
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -218,6 +221,34 @@ def fold_user(spark, d):
     return frame(spark, d, "lineitem", "l_linenumber").aggregate(total, "l_linenumber", "total").to_df()
 
 
+@query("""with l as (select l_extendedprice lo, row_number() over (order by l_extendedprice) r from lineitem), h as (select l_extendedprice hi, row_number() over (order by l_extendedprice desc) r from lineitem)
+    select lo, hi from l join h using (r) where r <= 3""")
+def fold_lo3_hi3(spark, d):
+    return frame(spark, d, "lineitem").aggregate(agg.smallest3, "l_extendedprice", "lo").aggregate(agg.largest3, "l_extendedprice", "hi").to_df()
+
+
+# ------------------------------------------------------------ sinks
+
+
+def _scratch(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}.csv"
+    deleted_at_exit(spark, path)
+    return path
+
+
+@query("select cast(c_custkey as varchar) as key, c_mktsegment as segment, cast(c_acctbal as varchar) as balance from customer where c_acctbal > 0")
+def sink_round_trip(spark, d):
+    """A frame written to one text file under other names, and the file read again."""
+    f = frame(spark, d, "customer").filter("c_acctbal", lambda a: a > 0)
+    return f.compute(_scratch(spark), select=["c_custkey", "c_mktsegment", "c_acctbal"], header=["key", "segment", "balance"]).to_df()
+
+
+@query("""select cast(n_nationkey as varchar) as id, unnest([n_name, cast(n_regionkey as varchar)]) as cell from nation""")
+def sink_melt(spark, d):
+    """Each row becomes several as it is written."""
+    return frame(spark, d, "nation").compute(_scratch(spark), melt=lambda r: [[r[0], r[1]], [r[0], r[2]]], header=["id", "cell"]).to_df()
+
+
 # ------------------------------------------------------------ joins
 
 _O = "a.o_orderkey as \"1_o_orderkey\", a.o_custkey as \"1_o_custkey\", a.o_totalprice as \"1_o_totalprice\""

@@ -26,10 +26,14 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_delete, spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
