@@ -137,8 +137,24 @@ _QUANTILE_ROWS = f"""
     union all select 'sales', {_strip('cust')},
         case when regexp_matches({_SOLD}, '^[+-]?[0-9]+(\\.0+)?$') then try_cast({_SOLD} as double) end from sales"""
 
-#: SQL that gives the same rows. p1, p6: the mixed formats aren't expressible within reason; p2: quoting by grammar is tested by brute force.
+_CELL = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_NUMBER = r"'^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+_DAY = r"'^[0-9]{4}([-/])[0-9]{1,2}([-/])[0-9]{1,2}( +([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?$'"
+_P2 = f"""
+    with records as (select record_no, file_name, regexp_replace(record, '[\r\n]+$', '') as t from raw_employees),
+        cut as (select *, regexp_full_match(t, '{_CELL}(,{_CELL})*') as proper, regexp_extract_all(',' || t, ',({_CELL})', 1) as raw from records),
+        cells as (select *, list_transform(raw, lambda c: case when c like '"%' then replace(c[2:-2], '""', '"') else c end) as c,
+            len(list_filter(raw, lambda x: x not like '"%' and regexp_matches(x, '[\r\n]'))) as broken from cut),
+        named as (select *, {_strip('c[4]')} as s, {_strip('c[5]')} as d from cells),
+        typed as (select *, case when regexp_matches(s, {_NUMBER}) then try_cast(s as double) end as salary,
+            case when regexp_matches(d, {_DAY}) and (not contains(d, '-') or not contains(d, '/')) then try_cast(replace(d, '/', '-') as timestamp) end as day from named)
+    select *, case when t is null then 'column_count' when not proper then 'quoting' when len(raw) <> 5 or broken > 0 then 'column_count'
+        when s <> '' and not regexp_matches(s, {_NUMBER}) then 'salary' when d <> '' and day is null then 'update_date' end as reason from typed"""
+
+#: SQL that gives the same rows. p1, p6: the mixed formats aren't expressible within reason.
 ORACLES = {
+    "p2_found": f"select record_no, reason from ({_P2}) where reason is not null",
+    "p2_loaded": f"""select record_no, file_name, c[1] as "Employee", c[2] as "EmployeeName", c[3] as "Department", salary as "Salary", day as "UpdateDate" from ({_P2}) where reason is null""",
     "p3_found": _P3,
     "p3_report": f"select table_name, period, reason, count(*) as n_rows from ({_P3}) group by all",
     "p4_found": f"""
