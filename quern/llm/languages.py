@@ -1,7 +1,8 @@
 """Language of documents and of paragraphs in another language, by compression.
 
 For each language a raw-content dictionary for zstandard is filled with texts of that language; a text belongs to the language whose dictionary compresses it to
-the fewest bytes. A result whose lead over the second is narrow is rejected. Confidence is that lead: 1 - smallest / second smallest size.
+the fewest bytes. A result whose lead over the second is narrow is rejected. Confidence is that lead: 1 - smallest / second smallest size. As zstandard learns from
+the text itself, so that a dictionary only helps at its start, texts are compressed in consecutive pieces, all of them, each for itself; sizes are their sums.
 
 The dictionaries come from a bounded sample (SAMPLE documents of each label, chosen by a hash of their key from the whole table). As labels may be wrong, the sample is cleaned first: of each label, texts that the others compress far worse than usual leave. Labels are taken from the most frequent (over all
 documents) on; one whose held-out texts its own dictionary compresses hardly better than those before it, or one of those as well as its own texts, is another name for it, or a mixture, and none of the languages. Then half of the sample judges the other
@@ -32,6 +33,8 @@ SAMPLE, SAMPLE_CHARACTERS = 60, 6_000
 #: Bytes of a dictionary, and characters of the pieces it is made of.
 DICTIONARY, PART = 16_384, 300
 LEVEL = 1
+#: Most characters that are compressed at once; longer texts are cut into equal pieces.
+PIECE = 2_000
 #: Least lead over the second language, as a share and in bytes, and least letters (or half as many ideographs) and words of running text.
 MARGIN, MARGIN_BYTES, LETTERS, WORDS = 0.03, 6, 24, 5
 #: A label's held-out texts must be this much smaller by its own dictionary than by those of more frequent labels; and by these that many
@@ -66,6 +69,14 @@ def running_text(paragraph: str) -> str | None:
     return text if letters >= LETTERS and len(words) >= WORDS and letters * 2 >= len(text.strip()) else None
 
 
+def cut(text: str) -> list[bytes]:
+    """The whole text in consecutive pieces of at most PIECE characters, and of half as many at least if there are several."""
+    if len(text) <= PIECE:
+        return [text.encode()]
+    step = -(-len(text) // -(-len(text) // PIECE))
+    return [text[a : a + step].encode() for a in range(0, len(text), step)]
+
+
 class Languages:
     """Compressors by language."""
 
@@ -90,8 +101,8 @@ class Languages:
 
     def judge(self, text: str) -> tuple[str, float] | None:
         """(language, confidence) of running text; confidence 0 if the lead is narrow."""
-        data = text.encode()
-        sizes = sorted((len(c.compress(data)), x) for x, c in self.tried(len(data) / len(text)))
+        parts = cut(text)
+        sizes = sorted((sum([len(c.compress(data)) for data in parts]), x) for x, c in self.tried(sum(map(len, parts)) / len(text)))
         if not sizes:
             return None
         if len(sizes) == 1:
@@ -136,7 +147,7 @@ def dictionary_of(texts: list[str]) -> bytes:
 
 def _best(languages: Languages, text: str) -> tuple[int, str]:
     """Bytes of the text's running paragraphs by the dictionary that compresses them best together, and its language."""
-    parts = [r.encode() for p in _EMPTY_LINES.split(text) if (r := running_text(p))]
+    parts = [data for p in _EMPTY_LINES.split(text) if (r := running_text(p)) for data in cut(r)]
     return min((sum(len(c.compress(data)) for data in parts), x) for x, c in languages.compressors.items())
 
 

@@ -48,6 +48,18 @@ def test_mixed_documents_and_what_does_not_count(fitted):
     assert fitted.segments(text(rng, "de", 400))[0][1] == "de"
 
 
+def test_long_paragraphs(fitted):
+    rng = random.Random(5)
+    for size in (2_001, 25_000, 100_000, 1_000_000):
+        for x in WORDS:
+            long = " ".join(rng.choice(WORDS[x]) for _ in range(size // 4))[:size]
+            pieces = languages.cut(long)
+            assert b"".join(pieces) == long.encode() and max(len(c.decode()) for c in pieces) <= languages.PIECE
+            assert [(s, y) for s, y, _ in fitted.segments(long)] == [(0, x)] and fitted.judge(long)[1] > 0.1
+    french = " ".join(rng.choice(WORDS["fr"]) for _ in range(20_000))
+    assert [(s, x) for s, x, _ in fitted.segments(text(rng, "en", 1) + "\n\n" + french + "\n\n" + text(rng, "de", 1))] == [(0, "fr"), (1, "en"), (3, "de")]
+
+
 def test_on_spark(spark):
     rng = random.Random(4)
     rows = [(i, text(rng, x), label) for i, (x, label) in enumerate((x, rng.choice([x, x.upper(), f" {x}-XX"])) for x in WORDS for _ in range(12))]
