@@ -171,6 +171,8 @@ _CLASS = {c: "9" for c in range(ord("0"), ord("9") + 1)} | {c: "a" for c in (*ra
 FIELDS = ("unix", "Y", "m", "d", "p", "q", "H", "M", "S", "f", "mon", "week", "T", "tail")
 #: Texts up to this length are converted together; longer ones (only fractions can be that long) apart, by their length.
 USUAL = 96
+#: Masks that a worker keeps between batches; beyond that it starts afresh.
+MOST_MASKS = 100_000
 
 _TIME = r"(?:(?:(?P<T>a)| +)(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?)?"
 _TAIL = r"(?P<tail>(?:[^9].*)?)"
@@ -253,8 +255,6 @@ class Normaliser:
         self.zones: list = []
 
     def _layout(self, mask: str) -> int:
-        if len(self.number) > 100_000:
-            self.number, self.places = {}, []
         layout = layout_of(mask)
         if layout is not None:
             self.places.append([(a, b - a) for a, b in (layout.get(f, (0, 0)) for f in FIELDS)])
@@ -281,7 +281,7 @@ class Normaliser:
 
     def _convert(self, texts: list[str], feeds: list) -> tuple[np.ndarray, np.ndarray]:
         total = len(texts)
-        if len(self.number) + total > 200_000:
+        if len(self.number) > MOST_MASKS:  # only here: what follows takes indices into places
             self.number, self.places = {}, []
         known = self.number
         which = np.fromiter((k if (k := known.get(mask := t.translate(_CLASS))) is not None else self._layout(mask) for t in texts), np.int64, total)

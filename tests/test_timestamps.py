@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.operators.timestamps import Normaliser, instant_column, layout_of, with_instant, zone_tables
+from quern.operators.timestamps import MOST_MASKS, Normaliser, instant_column, layout_of, with_instant, zone_tables
 
 FEEDS = {"berlin": ("Europe/Berlin", "DMY"), "york": ("America/New_York", "MDY"), "none": (None, "MDY"), "fixed": ("+05:30", None)}
 LABELS = {"NYC": "America/New_York", "CET": "+01:00", "UTC": "UTC", "BER": "Europe/Berlin"}
@@ -54,6 +54,26 @@ def test_masks_are_mapped_once():
     assert layout_of.cache_info().hits == 1
 
 
+def test_more_masks_than_are_kept():
+    valid = [("2022-07-01", "2022-06-30T22:00:00+00:00"), ("15-JAN-2022 10:30:00 NYC", "2022-01-15T15:30:00+00:00"), ("3.4.2022", "2022-04-02T22:00:00+00:00")]
+    texts, expected = [], []
+    for i in range(130_000):  # as many masks
+        texts.append(f"{i:b}".replace("0", ".").replace("1", "-"))
+        expected.append(None)
+        if i % 1_000 == 0:
+            for text, instant in valid:
+                texts.append(text)
+                expected.append(at(instant))
+    for size in (len(texts), 10_000):
+        n, got = Normaliser(zone_tables(), FEEDS, LABELS), []
+        for a in range(0, len(texts), size):
+            batch = texts[a : a + size]
+            got += [int(u) if o else None for u, o in zip(*n(batch, ["berlin"] * len(batch)), strict=True)]
+        assert got == expected
+        n(texts[:1], ["berlin"])
+        assert len(n.number) <= MOST_MASKS
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.datetimes(datetime(1971, 1, 1), datetime(2036, 12, 30)), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "Africa/Casablanca", "America/Sao_Paulo"]))
 def test_wall_times_against_the_library(wall, zone):
