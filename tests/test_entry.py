@@ -45,6 +45,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert own == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr)
 
 
+def test_null_keys_are_joined_whole(spark, tmp_path):
+    spark.createDataFrame([(i, n) for i, n in enumerate(["A", None, "B", None, "", "a"], 1)], "emp_row long, EmployeeName string").write.parquet(f"{tmp_path}/employees.parquet")
+    spark.createDataFrame([(i, n) for i, n in enumerate([None, "A", "", "C"], 1)], "info_row long, EmployeeName string").write.parquet(f"{tmp_path}/employee_info.parquet")
+    got = {tuple(r) for r in entry.queries()["join_null_keys_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("A", 1, 2), (None, 2, 1), (None, 4, 1), ("", 5, 3)}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
