@@ -10,7 +10,7 @@ period) 0.0. Entities equal null-safely; repeated asked rows come out repeatedly
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, whole_number
@@ -45,6 +45,23 @@ def trailing_totals(asked: DataFrame, totals: DataFrame, periods: tuple[int, ...
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
 
 
+def calendar_totals(totals: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """The rows of trailing_totals(calendar(totals), totals, periods). Each daily total gives the days up to the next one of its entity, beside the daily totals
+    of the longest period that ends with it; so only daily totals are shuffled, not the days between them."""
+    order = Window.partitionBy("entity").orderBy("day")
+    near = F.collect_list(F.struct("day", "total")).over(order.rangeBetween(1 - max(periods), 0))
+    after = F.coalesce(F.lead("day").over(order), F.col("day") + 1)
+    each = totals.where("day is not null").select("entity", F.col("day").alias("last"), after.alias("after"), near.alias("near")).where("after > last")
+    out = each.select("entity", "last", "near", F.explode(F.sequence(F.col("last"), F.col("after") - 1)).alias("day"))
+
+    def total(n: int) -> Column:
+        within = F.aggregate("near", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + F.when(x["day"] > F.col("day") - n, F.coalesce(x["total"], F.lit(0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return F.when(F.col("day") - F.col("last") < n, within).otherwise(F.lit(0).cast("bigint"))
+
+    out = out.select("entity", "day", *(total(n).alias(f"total_{n}") for n in periods))
+    return out.select("entity", "day", *(c for n in periods for c in (F.col(f"total_{n}"), (F.col(f"total_{n}") / F.lit(float(n))).alias(f"average_{n}"))))
+
+
 def sales_by_day(sales: DataFrame, instant) -> DataFrame:
     """(entity, day, total) of sales. instant: the function of timestamps.instant_column. Each ticket counts once, by its row of the least sale_id; rows without ticket
     count each for itself; sold counts if it is a whole number; days are days since 1970 in UTC."""

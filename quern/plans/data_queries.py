@@ -77,6 +77,14 @@ def p6_averages(spark: SparkSession, d: str) -> DataFrame:
     return p6_totals(spark, d).select(F.col("entity").alias("cust"), day.alias("ask_day"), *(F.round(f"average_{n}", 6).alias(f"average_{n}") for n in (7, 30)))
 
 
+def p6_calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and averages of each cust for each day from its first to its last, days without sales too."""
+    totals = rolling.sales_by_day(table(spark, d, "sales"), instant_of(spark, d))
+    day = F.date_from_unix_date(F.col("day").cast("int")).cast("string")
+    both = [c for n in (7, 30) for c in (F.col(f"total_{n}").alias(f"sold_{n}"), F.round(f"average_{n}", 6).alias(f"average_{n}"))]
+    return rolling.calendar_totals(totals).select(F.col("entity").alias("cust"), day.alias("day"), *both)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return (
         skew.hot_keys(table(spark, d, "employees"), "Department", P7_SHARE)
@@ -94,7 +102,7 @@ def p7_quantiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p3_found, p3_report, p4_found, p4_wide, p6_found, p6_averages, p7_found, p7_quantiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p3_found, p3_report, p4_found, p4_wide, p6_found, p6_averages, p6_calendar, p7_found, p7_quantiles)}
 
 _BLANKS = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 

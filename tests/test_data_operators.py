@@ -199,6 +199,32 @@ def test_sales_by_day_counts_tickets_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == [("", 1, -3), ("a", 0, 9)]
 
 
+def test_calendar_totals_are_those_of_the_range_join(spark):
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", "c", None]), rng.randrange(-60, 200), rng.choice([None, *range(-3, 9)])) for _ in range(120)] + [("d", 5, 1), ("e", 0, 2), ("e", 400, 3)]
+    totals = spark.createDataFrame(data, "entity string, day bigint, total bigint")
+    got, want = rolling.calendar_totals(totals), rolling.trailing_totals(rolling.calendar(totals), totals).select("entity", "day", "total_7", "average_7", "total_30", "average_30")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert rolling.calendar_totals(totals.limit(0)).collect() == []
+
+
+def test_calendar_query_has_days_without_sales(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sold = [(" a ", "1970-01-02", "2"), ("a", "1970-01-05", "4"), ("a", "1970-02-10", "-1"), ("b", "1970-01-09", "7"), ("b", "no day", "5"), ("c", "1970-01-09", "x"), (None, "1970-01-09", "1"), ("a", "1970-01-05", "+1.0")]
+    rows = [(i, c, d, v, f"t{i}", "f") for i, (c, d, v) in enumerate(sold)]
+    spark.createDataFrame(rows, "sale_id long, cust string, date string, sold string, ticket string, feed string").write.parquet(f"{tmp_path}/sales.parquet")
+    spark.createDataFrame([("f", "UTC", "DMY")], "feed string, zone_name string, date_order string").write.parquet(f"{tmp_path}/feeds.parquet")
+    spark.createDataFrame([("UTC", "UTC")], "label string, zone_name string").write.parquet(f"{tmp_path}/zone_labels.parquet")
+    daily = {"a": {1: 2, 4: 5, 40: -1}, "b": {8: 7}}
+    want = []
+    for c, days in daily.items():
+        for d in range(min(days), max(days) + 1):
+            sold_7, sold_30 = (sum(v for k, v in days.items() if d - n < k <= d) for n in (7, 30))
+            want.append((c, (datetime.date(1970, 1, 1) + datetime.timedelta(d)).isoformat(), sold_7, round(sold_7 / 7, 6), sold_30, round(sold_30 / 30, 6)))
+    assert sorted(map(tuple, entry.queries()["p6_calendar"](spark, str(tmp_path)).collect())) == want
+
+
 # ------------------------------------------------------------ skewed keys
 
 
