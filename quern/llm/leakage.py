@@ -11,9 +11,9 @@ fewer than n words, leak nothing. Repeated documents and items are reported each
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,36 @@ def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     return strings(data, place).dictionary_encode(), text_no
 
 
+@lru_cache(1)
+def _second_characters() -> frozenset[str]:
+    """Characters that may be composed with one before them without being combining marks."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+@lru_cache(4_096)
+def _joins(c: str) -> bool:
+    """Whether normalisation may change the character together with the one before it."""
+    first = unicodedata.normalize("NFD", c.casefold())[:1]
+    return not first or unicodedata.combining(first) > 0 or first in _second_characters()
+
+
+def _normalised(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points as words_of sees them, the piece of the text that each comes from, and the bounds of the pieces in the text as it is."""
+    if text.isascii():
+        return code_points(text.casefold()), np.arange(len(text)), np.arange(len(text) + 1)
+    joining = {c for c in set(text) if _joins(c)}
+    bounds = [i for i, c in enumerate(text) if i == 0 or c not in joining] + [len(text)]
+    parts = [unicodedata.normalize("NFC", text[a:b].casefold()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    codes, owner = code_points("".join(parts)), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    seen = ~invisible_characters()[codes]
+    return codes[seen], owner[seen], np.array(bounds)
+
+
 def _hashes(windows: np.ndarray) -> np.ndarray:
     h = np.zeros(len(windows), np.uint64)
     for i in range(windows.shape[1]):
@@ -79,6 +109,24 @@ class ItemGrams:
         self.at = at[order] - first[self.item]
         self.set = np.unique(self.hashes)
 
+    @cached_property
+    def known(self) -> set[tuple[int, ...]]:
+        return set(map(tuple, self.windows.tolist()))
+
+    def spans(self, text: str) -> list[int]:
+        """Begin and end, in the text as it is, of each n-gram that it shares with an item."""
+        codes, owner, bounds = _normalised(text)
+        part = np.isin(character_classes()[codes], (LETTER, NUMBER))
+        edges = np.diff(np.concatenate(([0], part.astype(np.int8), [0])))
+        begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        plain = codes.tobytes().decode("utf-32-le", "surrogatepass")
+        words = [self.vocabulary.get(plain[a:b].encode("utf-8", "surrogatepass"), -1) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        out = []
+        for i in range(len(words) - self.n + 1):
+            if words[i] >= 0 and tuple(words[i : i + self.n]) in self.known:
+                out += [int(bounds[owner[begins[i]]]), int(bounds[owner[ends[i + self.n - 1] - 1] + 1])]
+        return out
+
     def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, words of the item in common runs) of every pair with a common run."""
         n = self.n
@@ -150,9 +198,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, n: int =
     return found
 
 
-_WORD = re.compile(r"[^\W_]+")
-
-
 def without_documents(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """docs without those that leak an item."""
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -161,34 +206,36 @@ def without_documents(docs: DataFrame, leaks: DataFrame) -> DataFrame:
 def without_spans(docs: DataFrame, items: DataFrame, n: int = N, most: int = BLOCK_GRAMS) -> DataFrame:
     """docs with every run of n or more words shared with an item cut out of the text; other columns stay.
 
-    Words are found in the raw text with invisible characters inside them allowed."""
-    out = docs
-    for grams in item_blocks(items, n, most):
-        out = out.withColumn("text", _cutter(docs.sparkSession.sparkContext.broadcast(grams))(F.col("text")))
-    return out
+    The words are those of find_leaks, mapped back to the text as it is. Items of all blocks are looked for in the whole text before anything is cut."""
+    spans = [_finder(docs.sparkSession.sparkContext.broadcast(grams))(F.col("text")) for grams in item_blocks(items, n, most)]
+    return docs.withColumn("text", _cutter()(F.col("text"), F.concat(*spans))) if spans else docs
+
+
+def _finder(sent):
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series) -> pd.Series:
+        g, values = sent.value, [t if isinstance(t, str) else None for t in texts]
+        out = [[] for _ in values]
+        for a, b in pieces(values):
+            for i in np.unique(g.scan(values[a:b])[0]).tolist():
+                out[a + i] = g.spans(values[a + i])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return find
 
 
-def _cutter(sent):
+def _cutter():
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        g = sent.value
-        known = {tuple(w) for w in g.windows.tolist()}
-        return texts.map(lambda t: _cut(t, g.vocabulary, known, g.n) if isinstance(t, str) else None)
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_without(t, s) if isinstance(t, str) else None for t, s in zip(texts, spans, strict=True)], index=texts.index, dtype=object)
 
     return cut
 
 
-def _cut(text: str, vocabulary: dict[bytes, int], known: set[tuple], n: int) -> str:
-    hidden = invisible_characters()
-    keep = [i for i, c in enumerate(text) if not hidden[ord(c)]]
-    plain = "".join([text[i] for i in keep])
-    words = [(m.start(), m.end(), vocabulary.get(unicodedata.normalize("NFC", m[0].casefold()).encode(), -1)) for m in _WORD.finditer(plain)]
-    drop = np.zeros(len(plain) + 1, bool)
-    for i in range(len(words) - n + 1):
-        if words[i][2] >= 0 and tuple(w for _, _, w in words[i : i + n]) in known:
-            drop[words[i][0] : words[i + n - 1][1]] = True
-    if not drop.any():
-        return text
-    gone = np.zeros(len(text) + 1, bool)
-    gone[[keep[k] for k in np.flatnonzero(drop[:-1])]] = True
-    return "".join([c for i, c in enumerate(text) if not gone[i]])
+def _without(text: str, spans) -> str:
+    out, at = [], 0
+    for a, b in sorted(np.reshape(spans, (-1, 2)).tolist()):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "".join([*out, text[at:]])

@@ -52,6 +52,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.col("words") / F.col("item_words")).alias("most"))
 
 
+def p9_without_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, without the passages of items."""
+    return leakage.without_spans(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
+def p9_without_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that leak no item."""
+    return leakage.without_documents(table(spark, d, "documents").select("doc_id", "text"), p9_leaks(spark, d))
+
+
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.identify(table(spark, d, "documents")).select("doc_id", "segment", "lang", "confidence")
 
@@ -62,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where((F.col("segment") > 0) | ~label.eqNullSafe(F.col("lang"))).select("doc_id", "segment", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p8_ids, p8_round_trip, p9_found, p9_report, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p5_found, p8_ids, p8_round_trip, p9_found, p9_report, p9_without_spans, p9_without_documents, p10_found, p10_languages)}
 
 
 
@@ -82,5 +92,6 @@ _P9 = f"""
 ORACLES = {
     "p8_round_trip": "select count(*) as n_docs, count(*) as n_equal from documents",
     "p9_found": f"select doc_id, item_id from ({_P9})",
+    "p9_without_documents": f"select doc_id, text from documents where doc_id not in (select doc_id from ({_P9}))",
     "p9_report": f"select item_id, count(*) as n_docs, max(words / item_words) as most from ({_P9}) group by 1",
 }

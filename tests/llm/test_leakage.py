@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 from quern.llm import leakage
 
@@ -58,3 +59,35 @@ def test_removal(spark):
     cut = {r.doc_id: r.text for r in leakage.without_spans(d, items).collect()}
     assert cut[1].replace("­", "") == "keep this. ! and that" and cut[2] == docs[1][1] and cut[3] is None
     assert leakage.find_leaks(leakage.without_spans(d, items), items).collect() == []
+
+
+def test_removal_of_decomposed_texts_and_over_blocks(spark):
+    passage = "der Café-Besitzer fährt über Straßen nach Zürich"
+    hidden = unicodedata.normalize("NFD", passage.upper()).replace("R", "R\u200b")
+    docs = [(1, f"vorher é {hidden}, nachher"), (2, unicodedata.normalize("NFD", "é è ê") + " bleibt"), (3, None), (4, "가나 " + unicodedata.normalize("NFD", "한국 말 하나 둘 셋") + " 끝"), (5, "x a b c d e f g h i y")]
+    items = spark.createDataFrame([(7, passage), (8, "한국 말 하나 둘 셋"), (9, "a b c d e f"), (10, "d e f g h i")], "item_id bigint, text string").coalesce(1)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id for r in leakage.find_leaks(d, items).collect()} == {1, 4, 5}
+    for most in (leakage.BLOCK_GRAMS, 1):
+        got = {r.doc_id: r.text for r in leakage.without_spans(d, items, most=most).collect()}
+        assert got == {1: "vorher é , nachher", 2: docs[1][1], 3: None, 4: "가나  끝", 5: "x  y"}
+
+
+def test_positions_of_normalised_texts():
+    rng = random.Random(9)
+    alphabet = "aeE\u0301\u0300\u0323\u200b ßİﬁ\u0344\u1100\u1161\u11a8가한\u09c7\u09be中.\u00ad"
+    for _ in range(3_000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25)))
+        codes, owner, bounds = leakage._normalised(t)
+        whole = leakage.code_points(unicodedata.normalize("NFC", t.casefold()))
+        assert codes.tolist() == whole[~leakage.invisible_characters()[whole]].tolist() and len(owner) == len(codes) and bounds[0] == 0 and bounds[-1] == len(t)
+
+
+def test_removal_queries_are_registered(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "a b one two three four five six c"), (2, "none"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "one two three four five six")], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    run = lambda name: {r.doc_id: r.text for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("p9_without_spans") == {1: "a b  c", 2: "none", 3: None}
+    assert run("p9_without_documents") == {2: "none", 3: None}
