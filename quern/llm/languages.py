@@ -10,8 +10,8 @@ half and the reverse: documents that aren't judged to be of their label leave, t
 left, until nothing changes. Only
 languages whose texts take a similar number of bytes per character are tried for a text, which tells scripts apart.
 
-Defined results: segment 0 is the document (the language of most of its characters, over its running text), segment k its k-th paragraph of running text in another language, counted from 1 over the parts between
-empty lines. Texts without running text (null, empty, blank, only formulas) have no language and no rows. Repeated documents are judged each for itself. Without any labelled text there are no languages and no rows.
+Defined results: segment 0 is the document (the language of most of its characters, over its running text; if none of that is judged surely, of all its words together, with a confidence of MARGIN at most), segment k its k-th paragraph of running text in another language, counted from 1 over the parts between
+empty lines. Texts without words (null, empty, blank, only formulas) or with a single one, which may be a name, have no language and no rows. Repeated documents are judged each for itself. Without any labelled text there are no languages and no rows.
 """
 
 from __future__ import annotations
@@ -99,10 +99,13 @@ class Languages:
             self._of_ratio[key] = near or list(self.compressors.items())
         return self._of_ratio[key]
 
+    def _sizes(self, text: str) -> list[tuple[int, str]]:
+        parts = cut(text)
+        return sorted((sum([len(c.compress(data)) for data in parts]), x) for x, c in self.tried(sum(map(len, parts)) / len(text)))
+
     def judge(self, text: str) -> tuple[str, float] | None:
         """(language, confidence) of running text; confidence 0 if the lead is narrow."""
-        parts = cut(text)
-        sizes = sorted((sum([len(c.compress(data)) for data in parts]), x) for x, c in self.tried(sum(map(len, parts)) / len(text)))
+        sizes = self._sizes(text)
         if not sizes:
             return None
         if len(sizes) == 1:
@@ -111,9 +114,21 @@ class Languages:
         return sizes[0][1], lead / sizes[1][0] if lead >= max(MARGIN_BYTES, MARGIN * sizes[1][0]) else 0.0
 
     def segments(self, text: str | None) -> list[tuple[int, str, float]]:
-        """(segment, language, confidence): the document, then its paragraphs in another language."""
+        """(segment, language, confidence): the document, then its paragraphs in another language. Without a sure paragraph the document is judged by all its words together."""
         if not text:
             return []
+        return self.sure_segments(text) or self._by_words(text)
+
+    def _by_words(self, text: str) -> list[tuple[int, str, float]]:
+        words = _WORD.findall(_MARKUP.sub(" ", text))
+        joined = " ".join(words)
+        if max(len(words), len(_IDEOGRAPH.findall(joined))) < 2 or not (sizes := self._sizes(joined)):
+            return []
+        lead = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else MARGIN
+        return [(0, sizes[0][1], min(lead, MARGIN))]
+
+    def sure_segments(self, text: str) -> list[tuple[int, str, float]]:
+        """As segments, by paragraphs of running text with a sure lead only."""
         judged, weight, sure = [], Counter(), defaultdict(float)
         for k, paragraph in enumerate(_EMPTY_LINES.split(text), 1):
             if (running := running_text(paragraph)) and (found := self.judge(running)):
@@ -174,7 +189,7 @@ def _alike(texts: list[str]) -> list[str]:
 
 def _own_part(languages: Languages, text: str, language: str) -> str | None:
     """The text without its paragraphs in other languages; none if the language isn't the text's."""
-    found = languages.segments(text)
+    found = languages.sure_segments(text)
     if not found or found[0][1] != language:
         return None
     foreign = {k for k, _, _ in found[1:]}

@@ -60,6 +60,13 @@ def test_long_paragraphs(fitted):
     assert [(s, x) for s, x, _ in fitted.segments(text(rng, "en", 1) + "\n\n" + french + "\n\n" + text(rng, "de", 1))] == [(0, "fr"), (1, "en"), (3, "de")]
 
 
+def test_documents_of_short_paragraphs_have_a_language(fitted):
+    for x, short in (("en", "The device\n\nwith the valve\n\nunder pressure"), ("de", "Die Vorrichtung\n\n<b>mit</b> Gehäuse"), ("fr", "le dispositif\n\n12 34\n\navec boîtier"), ("ru", "давлением")):
+        found = fitted.segments(short)
+        assert [(s, y) for s, y, _ in found] == ([] if x == "ru" else [(0, x)]) and all(0 <= c <= languages.MARGIN for _, _, c in found)
+    assert fitted.sure_segments("The device\n\nwith the valve") == []
+
+
 def test_on_spark(spark):
     rng = random.Random(4)
     rows = [(i, text(rng, x), label) for i, (x, label) in enumerate((x, rng.choice([x, x.upper(), f" {x}-XX"])) for x in WORDS for _ in range(12))]
