@@ -30,6 +30,8 @@ from ..sources.tables import columns
 
 #: Documents of each label that the dictionaries are made from, and characters taken of each of them.
 SAMPLE, SAMPLE_CHARACTERS = 60, 6_000
+#: Texts of more characters are sampled first.
+LONG = 200
 #: Bytes of a dictionary, and characters of the pieces it is made of.
 DICTIONARY, PART = 16_384, 300
 LEVEL = 1
@@ -187,6 +189,15 @@ def _alike(texts: list[str]) -> list[str]:
     return [t for t, x in zip(texts, left, strict=True) if x <= STRANGE * _median(left)]
 
 
+def _halves(text: str) -> tuple[list[str], list[str]]:
+    """Every other paragraph of a text's running text, and the rest; a single paragraph is cut into pieces of PART characters or half of it. The whole and nothing if there is no second half."""
+    parts = [r for p in _EMPTY_LINES.split(text) if (r := running_text(p))]
+    if len(parts) == 1:
+        size = min(PART, -(-len(parts[0]) // 2))
+        parts = [r for a in range(0, len(parts[0]), size) if (r := running_text(parts[0][a : a + size]))]
+    return (["\n\n".join(parts[0::2])], ["\n\n".join(parts[1::2])]) if len(parts) > 1 else ([text], [])
+
+
 def _own_part(languages: Languages, text: str, language: str) -> str | None:
     """The text without its paragraphs in other languages; none if the language isn't the text's."""
     found = languages.sure_segments(text)
@@ -204,8 +215,8 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
     own: dict[str, bytes] = {}
     usual: dict[str, float] = {}  # share that is left of held-out texts of a language by its dictionary
     for x in sorted(kept, key=lambda x: (-counts.get(x, 0), x)):  # a label that is another name of one before it, or a mixture, is none
-        content = dictionary_of(kept[x][0::2])
-        held = kept[x][1::2]
+        first, held = (kept[x][0::2], kept[x][1::2]) if len(kept[x]) > 1 else _halves(kept[x][0])
+        content = dictionary_of(first)
         if own:
             mine, others = Languages({x: content}), Languages(own)
             leads, likeness = [], []
@@ -232,11 +243,14 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
 
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> tuple[dict[str, list[str]], dict[str, int]]:
-    """Texts of `each` documents per two-letter label (so of at most 676 labels), the least by a hash of the key; and the number of documents of each label."""
+    """Texts of `each` documents per two-letter label (so of at most 676 labels), the least by a hash of the key; and the number of documents of each label.
+    Texts of LONG characters or fewer count for labels that have no longer ones only."""
     docs = columns(docs, "doc_id", "lang", "text")
-    labelled = docs.where(F.length("text") > 200).select("doc_id", label_language(F.col("lang")).alias("language"))
+    labelled = docs.where(F.length("text") > 0).select("doc_id", label_language(F.col("lang")).alias("language"), (F.length("text") > LONG).alias("long"))
     labelled = labelled.where("language is not null and doc_id is not null")
-    counts = {r.language: r.n for r in labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_label = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_if("long").alias("n_long")).collect()
+    counts = {r.language: r.n_long or r.n for r in by_label}
+    labelled = labelled.where(F.col("long") | F.col("language").isin([r.language for r in by_label if not r.n_long]))
     order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("doc_id", "language").collect()
     languages = {r.doc_id: r.language for r in chosen}

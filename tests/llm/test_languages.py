@@ -67,6 +67,21 @@ def test_documents_of_short_paragraphs_have_a_language(fitted):
     assert fitted.sure_segments("The device\n\nwith the valve") == []
 
 
+def test_languages_of_one_document_or_of_short_documents(spark):
+    rng = random.Random(6)
+    samples = {x: [text(rng, x) for _ in range(20)] for x in ("en", "de")}
+    assert set(languages.fit(samples | {"fr": [text(rng, "fr", 12)], "nl": [text(rng, "de", 12)]}).contents) == {"en", "de", "fr"}
+    assert set(languages.fit(samples | {"fr": [" ".join(rng.choice(WORDS["fr"]) for _ in range(400))]}).contents) == {"en", "de", "fr"}
+    short = lambda x: " ".join(rng.choice(WORDS[x]) for _ in range(20))
+    rows = [(i, text(rng, x), x) for i, x in enumerate(["en", "de"] * 12)] + [(100 + i, short("fr"), "fr") for i in range(30)] + [(200 + i, short("de"), "de") for i in range(5)] + [(300, text(rng, "fr"), None)]
+    assert all(len(t) <= 200 for i, t, _ in rows if 100 <= i < 300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts, counts = languages.sample(docs)
+    assert counts == {"en": 12, "de": 12, "fr": 30} and {x: len(t) for x, t in texts.items()} == counts
+    got = {(r.doc_id, r.segment): r.lang for r in languages.identify(docs).collect()}
+    assert got[300, 0] == "fr" and all(got[i, 0] == "fr" for i in range(100, 130))
+
+
 def test_on_spark(spark):
     rng = random.Random(4)
     rows = [(i, text(rng, x), label) for i, (x, label) in enumerate((x, rng.choice([x, x.upper(), f" {x}-XX"])) for x in WORDS for _ in range(12))]
