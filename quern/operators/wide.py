@@ -1,10 +1,10 @@
 """Attribute-value rows to one typed row per entity.
 
 Cells are settled first (one value per entity and attribute, aggregated before the shuffle), then gathered per entity with the
-exact set of its attributes as signature (characteristic sets). Each frequent signature becomes a dense table of its
-own with just its columns; entities of the other signatures, whose number nothing bounds, share one more table with
-all columns. The gathered entities are written once in the shared folder, so that they aren't gathered again per table. The wide table is the union of these tables by name, missing columns allowed. A signature is frequent if it holds at least
-FREQUENT of all entities, so there are at most 1/FREQUENT dense tables whatever the data.
+exact set of its attributes as signature (characteristic sets). Every signature becomes a dense table of its own, with just its
+columns and no gaps, and these tables are united by name, missing columns allowed. Nothing bounds the number of signatures, and a Spark plan
+would need a branch for each; so tables are made and united on the workers, out of entities that each task has sorted by signature. Of a signature
+that holds most entities each task has a part of the table.
 
 Defined results: names of attributes are compared trimmed, in lower case, with blanks and hyphens as underscores; unknown or null ones,
 null or blank entities and unusable values give nothing. Of several usable values of a cell the one of the greatest row number holds (of
@@ -13,14 +13,17 @@ equal numbers the greatest text). An entity without any usable value has no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DECIMAL, WHOLE, strip
-from ..sources.shared import written
 from ..sources.tables import columns, small_rows
 
-FREQUENT = 1 / 12
 #: The columns of a wide table are its schema, so their number is bounded.
 MOST_COLUMNS = 10_000
 #: Types of the wide columns. Whole numbers are kept whole up to 38 digits.
@@ -42,34 +45,66 @@ def usable(value: Column, kind: Column) -> Column:
     return F.when(kind == "date", date).when(kind == "int", whole).when(kind == "double", number).when(kind == "boolean", flag).when(kind == "text", F.when(v != "", v))
 
 
-def cells(rows: DataFrame, measures: DataFrame) -> DataFrame:
-    """(family_id, measure, value): the settled cells, values as canonical text."""
-    kinds = columns(measures, "measure", "value_type").where("measure is not null").groupBy("measure").agg(F.min("value_type").alias("kind"))
+def value_types(measures: DataFrame) -> dict[str, str]:
+    """Type of each attribute, in the order of their names; of several types of one name the least holds."""
+    known: dict[str, str] = {}
+    for r in sorted(small_rows(columns(measures, "measure", "value_type").where("measure is not null"), MOST_COLUMNS, "measures"), key=lambda r: (r.measure, str(r.value_type))):
+        known.setdefault(r.measure, r.value_type)
+    return {m: kind for m, kind in known.items() if kind in TYPES}
+
+
+def cells(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(family_id, place, value): the settled cells, values as canonical text; place: of the attribute among `types`."""
+    kinds = rows.sparkSession.createDataFrame([(m, kind, i) for i, (m, kind) in enumerate(types.items())], "measure string, kind string, place int")
     rows = columns(rows, "row_no", "family_id", "measure", "value")
     entity = strip(F.col("family_id"))
     named = rows.select("row_no", F.when(entity != "", entity).alias("family_id"), attribute_name(F.col("measure")).alias("measure"), "value")
     typed = named.where("family_id is not null and measure is not null").join(kinds, "measure")
     typed = typed.withColumn("value", usable(F.col("value"), F.col("kind"))).where("value is not null")
-    return typed.groupBy("family_id", "measure").agg(F.max_by("value", F.struct("row_no", "value")).alias("value"))
+    return typed.groupBy("family_id", "place").agg(F.max_by("value", F.struct("row_no", "value")).alias("value"))
+
+
+def characteristic_sets(settled: DataFrame) -> DataFrame:
+    """(family_id, signature, values): each entity with the places of its attributes (as text) and their values, sorted by signature within each task."""
+    pairs = F.sort_array(F.collect_list(F.struct("place", "value"))).alias("pairs")  # one pair per attribute at most
+    sets = settled.groupBy("family_id").agg(pairs).select("family_id", F.array_join(F.col("pairs.place").cast("array<string>"), ",").alias("signature"), F.col("pairs.value").alias("values"))
+    return sets.sortWithinPartitions("signature")
+
 
+def dense_tables(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """A table for each signature of a batch of characteristic_sets: family_id and the columns of the signature, by their places."""
+    entity, signature, values = batch.columns
+    if not batch.num_rows:
+        return
+    codes = pc.dictionary_encode(signature)
+    which, flat = codes.indices.to_numpy(), values.flatten()
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(which)]))
+    at = 0
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        places = codes.dictionary[int(which[a])].as_py().split(",")
+        size = (b - a) * len(places)
+        own = flat.slice(at, size)
+        dense = [own.take(pa.array(range(j, size, len(places)))) if b - a > 1 else own.slice(j, 1) for j in range(len(places))]
+        yield pa.Table.from_arrays([entity.slice(a, b - a), *dense], ["family_id", *places])
+        at += size
 
-def widen(rows: DataFrame, measures: DataFrame, frequent: float = FREQUENT) -> DataFrame:
+
+def united(tables: list[pa.Table], schema: pa.Schema) -> pa.Table:
+    """The union of the tables by name; columns that a table lacks are null in its rows."""
+    return pa.concat_tables([schema.empty_table(), *tables], promote_options="default").select(schema.names)
+
+
+def widen(rows: DataFrame, measures: DataFrame) -> DataFrame:
     """One row per family_id, one column of the right type per measure."""
-    schema = {r.measure: r.value_type for r in sorted(small_rows(columns(measures, "measure", "value_type").where("measure is not null"), MOST_COLUMNS, "measures"), key=lambda r: (r.measure, str(r.value_type)), reverse=True)}
-    order = sorted(m for m, kind in schema.items() if kind in TYPES)
-    entities = cells(rows, measures).groupBy("family_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("measure", "value")))).alias("cells"))
-    gathered = written(entities.withColumn("signature", F.array_join(F.map_keys("cells"), "\n")).sortWithinPartitions("signature"))  # so that a signature's scan skips the rest
-    sets = gathered.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-    total = gathered.count()
-    often = sorted(r.signature for r in sets.where(F.col("n") >= max(1, total * frequent)).collect())  # at most 1 / frequent rows
-
-    def dense(df: DataFrame, names: list[str]) -> DataFrame:
-        return df.select("family_id", *(F.try_element_at("cells", F.lit(m)).cast(TYPES[schema[m]]).alias(m) for m in names))
-
-    wide = dense(gathered.where(~F.col("signature").isin(often)) if often else gathered, order)
-    for signature in often:
-        wide = wide.unionByName(dense(gathered.where(F.col("signature") == signature), signature.split("\n")), allowMissingColumns=True)
-    return wide
+    types = value_types(measures)
+    schema = pa.schema([("family_id", pa.string()), *((str(i), pa.string()) for i in range(len(types)))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from united(list(dense_tables(batch)), schema).combine_chunks().to_batches()
+
+    wide = characteristic_sets(cells(rows, types)).mapInArrow(run, ", ".join(f"`{n}` string" for n in schema.names))
+    return wide.select("family_id", *(F.col(f"`{i}`").cast(TYPES[kind]).alias(m) for i, (m, kind) in enumerate(types.items())))
 
 
 def filled_cells(wide: DataFrame) -> DataFrame:

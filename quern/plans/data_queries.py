@@ -133,6 +133,22 @@ _P3 = f"""
         seen as (select r.*, h.removed from (select * from refs where k is not null) r asof left join history h on r.k = h.k and r.loaded_at >= h.loaded_at),
         judged as (select s.*, case when k not in (select k from history) then 'missing' when removed is null then 'late' when removed then 'deleted' end as reason from seen s)
     select table_name, row_id, strftime(loaded_at, '%Y-%m') as period, reason from judged where reason is not null"""
+_P4_CELLS = f"""
+    select family_id, measure, typed from (
+        select {_strip('family_id')} as family_id, m.measure, arg_max(u.typed, row_no) as typed
+        from (select *, {_strip('value')} as v from family_long) f
+        join measures m on regexp_replace(lower({_strip('f.measure')}), '[\\s-]', '_', 'g') = m.measure,
+        lateral (select case value_type {' '.join(f"when '{k}' then {_usable(k)}" for k in ('date', 'int', 'boolean', 'text'))}
+            when 'double' then case when regexp_matches(v, '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$') then cast(try_cast(v as double) as varchar) end end as typed) u
+        where u.typed is not null group by all) where family_id <> ''"""
+#: The measures of the wide table by their type.
+_WIDE = {
+    "date": ["dob_child1", "dob_child2", "dob_child3", "dob_child4", "dob_child5", "moved_in"],
+    "decimal(38,0)": ["n_children", "n_rooms"],
+    "double": ["birth_weight_child1", "birth_weight_child2", "birth_weight_child3", "household_income"],
+    "boolean": ["has_pet"],
+    "varchar": ["sex_child1", "sex_child2", "sex_child3", "sex_child4", "sex_child5", "town"],
+}
 _P7 = " union all ".join(
     f"""select '{t}' as table_name, key_value from (select {_strip(c)} as key_value, count(*) as n from {t} group by 1)
     where key_value is not null and key_value <> '' and n >= {P7_SHARE} * (select count(*) from {t})"""
@@ -172,6 +188,7 @@ ORACLES = {
             join measures m on regexp_replace(lower({_strip('f.measure')}), '[\\s-]', '_', 'g') = m.measure,
             lateral (select case value_type {' '.join(f"when '{k}' then {_usable(k)}" for k in ('date', 'int', 'double', 'boolean', 'text'))} end as typed_value) u
             where u.typed_value is not null group by all) where family_id <> ''""",
+    "p4_wide": "select family_id, " + ", ".join(f"max(case when measure = '{m}' then cast(typed as {kind}) end) as {m}" for kind, names in _WIDE.items() for m in names) + f" from ({_P4_CELLS}) group by 1",
     "p7_found": _P7,
     "p7_quantiles": f"""
         select table_name, key_value, q, v as quantile from (

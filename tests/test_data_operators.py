@@ -3,9 +3,11 @@
 import collections
 import datetime
 import math
+import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,22 +161,54 @@ def test_runs_are_contiguous(spark):
 MEASURES = [("born", "date"), ("n", "int"), ("w", "double"), ("pet", "boolean"), ("town", "text"), ("odd", "colour"), (None, "int")]
 
 
-@pytest.mark.parametrize("frequent", [1 / 12, 2.0, 1 / 1000])
-def test_wide(spark, frequent):
+def test_wide(spark):
     rows = [
         (1, " a", "born", "2020/02/29"), (2, "a", "BORN ", "2020-02-30"), (3, "a", "n", "+08.00"), (4, "a", "n", "x"), (5, "b", "w", "5e-1"), (6, "b", "pet", " YES\t"), (7, "b", "pet", "0"),
         (8, "c", "town", " New Town "), (9, "c", "unknown", "1"), (10, None, "n", "1"), (11, " ", "n", "1"), (12, "d", "n", "1.5"), (13, "d", None, "1"), (14, "e", "odd", "red"), (15, "f", "n", "-0"),
         (15, "f", "n", "7"), (16, "g", "town", ""), (17, "h", "n", None), (None, "i", "n", "3"), (18, "j", "w", "-0"), (19, "k", "n", "9" * 30),
     ]
     long = spark.createDataFrame(rows, "row_no bigint, family_id string, measure string, value string").withColumn("kind", F.lit(1))
-    table = wide.widen(long, spark.createDataFrame(MEASURES, "measure string, value_type string"), frequent)
+    table = wide.widen(long, spark.createDataFrame(MEASURES, "measure string, value_type string"))
     assert table.columns == ["family_id", "born", "n", "pet", "town", "w"] and dict(table.dtypes)["born"] == "date"
     got = sorted(map(tuple, wide.filled_cells(table).collect()))
     assert got == sorted([("a", "born", "2020-02-29"), ("a", "n", "8"), ("b", "w", "0.50"), ("b", "pet", "false"), ("c", "town", "New Town"), ("f", "n", "7"), ("i", "n", "3"), ("j", "w", "0.00"), ("k", "n", "9" * 30)])
-    none = wide.widen(long.limit(0), spark.createDataFrame(MEASURES, "measure string, value_type string"), frequent)
+    none = wide.widen(long.limit(0), spark.createDataFrame(MEASURES, "measure string, value_type string"))
     assert none.columns == table.columns and none.collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_every_entity_comes_out_of_the_dense_table_of_its_own_signature(spark):
+    long, measures = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("family_long", "measures"))
+    types = wide.value_types(measures)
+    names = list(types)
+    settled = wide.cells(long, types)
+    want = collections.defaultdict(dict)
+    for r in settled.collect():
+        want[r.family_id][str(r.place)] = r.value
+    sets = wide.characteristic_sets(settled)
+    got, per_signature = {}, collections.Counter()
+    for batch in sets.coalesce(1).sortWithinPartitions("signature").toArrow().to_batches():
+        for table in wide.dense_tables(batch):
+            per_signature[tuple(table.column_names[1:])] += 1
+            assert not any(c.null_count for c in table.columns)  # dense
+            for row in table.to_pylist():
+                got[row.pop("family_id")] = row
+    assert got == want
+    assert set(per_signature.values()) == {1} and len(per_signature) == sets.select("signature").distinct().count() > 200
+    filled = {(r.family_id, r.measure) for r in wide.filled_cells(wide.widen(long, measures)).collect()}
+    assert filled == {(e, names[int(p)]) for e, row in want.items() for p in row}
+
+
+def test_parts_of_dense_tables_are_united_by_name():
+    schema = pa.schema([("family_id", pa.string()), *((str(i), pa.string()) for i in range(3))])
+    sets = [("a", "0", ["1"]), ("b", "0,2", ["2", "3"]), ("c", "0,2", ["4", "5"]), ("d", "1", ["6"]), ("e", "0", ["7"])]
+    batch = pa.RecordBatch.from_pylist([{"family_id": e, "signature": s, "values": v} for e, s, v in sets]).slice(1)
+    tables = list(wide.dense_tables(batch))
+    assert [t.column_names[1:] for t in tables] == [["0", "2"], ["1"], ["0"]]
+    assert [tuple(r.values()) for r in wide.united(tables, schema).to_pylist()] == [("b", "2", None, "3"), ("c", "4", None, "5"), ("d", None, "6", None), ("e", "7", None, None)]
+    assert wide.united([], schema).num_rows == 0 and list(wide.dense_tables(batch.slice(0, 0))) == []
+
+
 # ------------------------------------------------------------ rolling totals
 
 
