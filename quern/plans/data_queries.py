@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import decimal_number, strip, whole_number
 from ..operators import orphans, rejects, rolling, skew, timestamps, wide
 from ..sources.tables import table
+from .instant_sql import instants
 
 #: Share of a table's rows from which on a value is hot.
 P7_SHARE = 0.04
@@ -175,8 +176,26 @@ _P2 = f"""
     select *, case when t is null then 'column_count' when not proper then 'quoting' when len(raw) <> 5 or broken > 0 then 'column_count'
         when s <> '' and not regexp_matches(s, {_NUMBER}) then 'salary' when d <> '' and day is null then 'update_date' end as reason from typed"""
 
-#: SQL that gives the same rows. p1, p6: the mixed formats aren't expressible within reason.
+_P1_ROWS = """(select 'sales' as table_name, sale_id as row_id, date as text, feed from sales union all select 'employees', emp_row, "UpdateDate", feed from employees
+    union all select 'employee_info', info_row, "UpdateDate", feed from employee_info)"""
+_WHOLE = f"case when regexp_matches({_SOLD}, '^[+-]?[0-9]+(\\.0+)?$') then try_cast(regexp_extract({_SOLD}, '^([+-]?[0-9]+)', 1) as bigint) end"
+_DAILY = f"""
+    with dated as (select * from {instants("(select sale_id, ticket, cust, sold, date as text, feed from sales)")}),
+        once as (select * from dated qualify row_number() over (partition by nullif({_strip('ticket')}, ''), case when coalesce({_strip('ticket')}, '') = '' then sale_id end order by sale_id) = 1),
+        sums as (select {_strip('cust')} as cust, cast(floor(utc_micros / 86400000000.0) as integer) as day, {_WHOLE} as sold from once),
+        daily as (select cust, day, sum(sold) as total from sums where cust is not null and day is not null and sold is not null group by all)"""
+_TRAILING = "cast(coalesce(sum(total) filter (d.day > a.day - 7), 0) as bigint) as sold_7, cast(coalesce(sum(total), 0) as bigint) as sold_30"
+_ASKED = f"""{_DAILY}, asked as (select {_strip('cust')} as cust, ask_day, ask_day - date '1970-01-01' as day from sold_asks),
+        sums_of as (select a.cust, strftime(ask_day, '%Y-%m-%d') as ask_day, {_TRAILING} from asked a left join daily d on a.cust = d.cust and d.day between a.day - 29 and a.day group by all)"""
+_CALENDAR = f"""{_DAILY}, days as (select cust, unnest(range(min(day), max(day) + 1)) as day from daily group by cust),
+        sums_of as (select a.cust, strftime(date '1970-01-01' + cast(a.day as integer), '%Y-%m-%d') as day, {_TRAILING} from days a left join daily d on a.cust = d.cust and d.day between a.day - 29 and a.day group by a.cust, a.day)"""
+
+#: SQL that gives the same rows.
 ORACLES = {
+    "p1_found": f"select table_name, row_id, utc_micros from {instants(_P1_ROWS)} where utc_micros is not null",
+    "p6_found": f"{_ASKED} select cust, ask_day, sold_7, sold_30 from sums_of",
+    "p6_averages": f"{_ASKED} select cust, ask_day, round(sold_7 / 7, 6) as average_7, round(sold_30 / 30, 6) as average_30 from sums_of",
+    "p6_calendar": f"{_CALENDAR} select cust, day, sold_7, round(sold_7 / 7, 6) as average_7, sold_30, round(sold_30 / 30, 6) as average_30 from sums_of",
     "p2_found": f"select record_no, reason from ({_P2}) where reason is not null",
     "p2_loaded": f"""select record_no, file_name, c[1] as "Employee", c[2] as "EmployeeName", c[3] as "Department", salary as "Salary", day as "UpdateDate" from ({_P2}) where reason is null""",
     "p3_found": _P3,
