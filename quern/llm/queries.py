@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded_name
 from ..plans.data_queries import instant_of
+from ..plans.instant_sql import instants
 from ..sources.tables import table
 from . import languages, leakage, nearest, tokenizer
 
@@ -88,8 +89,14 @@ _P9 = f"""
         windows as (select distinct doc_id, w[i : i + 4] as g from docs, lateral (select unnest(range(1, len(w) - 3)) as i)),
         hits as (select doc_id, item_id, n, unnest(range(i, i + 5)) as p from windows join grams using (g))
     select doc_id, item_id, count(distinct p) as words, any_value(n) as item_words from hits group by 1, 2 having count(distinct p) >= 0.25 * any_value(n)"""
-#: SQL that gives the same rows. p5 (mixed time formats), p8_ids and p10 aren't expressible; they are tested by brute force, public encoders and accuracy.
+_NAME = r"""nullif(trim(regexp_replace(lower("EmployeeName"), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '')"""
+_P5_SIDES = "a as (select * from {0}), b as (select * from {1})".format(
+    *(instants(f'(select {key}, {_NAME} as name, "UpdateDate" as text, feed from {name})') for name, key in (("employees", "emp_row"), ("employee_info", "info_row")))
+)
+#: SQL that gives the same rows. p8_ids and p10 aren't expressible; they are tested by public encoders and accuracy.
 ORACLES = {
+    "p5_found": f"""with {_P5_SIDES} select emp_row, info_row from a join b on a.name = b.name and abs(a.utc_micros - b.utc_micros) <= {P5_TOLERANCE}
+        qualify row_number() over (partition by emp_row order by abs(a.utc_micros - b.utc_micros), info_row) = 1""",
     "p8_round_trip": "select count(*) as n_docs, count(*) as n_equal from documents",
     "p9_found": f"select doc_id, item_id from ({_P9})",
     "p9_without_documents": f"select doc_id, text from documents where doc_id not in (select doc_id from ({_P9}))",
