@@ -4,8 +4,9 @@ A text is tokenised into a character-class mask: every ASCII digit becomes ``9``
 anything else stays. Each distinct mask is mapped once to a layout (which field lies at which positions); with
 the positions of its layout each text's fields are read by array arithmetic over the whole batch. What follows the clock time (half
 of the day, zone) is resolved once per distinct text. Local times become instants through the transition tables of the time
-zone database, which carry the database's version and travel from the driver to every worker, so that all
-workers use the same rules.
+zone database, which carry the database's version and a checksum and travel from the driver to every worker, so that all
+workers use the same rules, whatever is installed there; a worker checks what it got. Where a zone's rule goes on without end its table holds
+40 years of it, in which years of every shape occur (leap or not, first day of the week), and later years are read as the one of their shape.
 
 Defined results: null, empty, blank or other texts, impossible dates or times, local times that a clock change
 skips or repeats, and zone labels that aren't known give null. A text without zone takes the zone of its feed; with
@@ -16,8 +17,8 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from dataclasses import dataclass, field
-from datetime import UTC, datetime, timedelta
 from functools import lru_cache
 from pathlib import Path
 
@@ -32,8 +33,8 @@ SECOND = 1_000_000
 DAY = 86_400 * SECOND
 #: Feeds and labels are configuration: more rows than this raise an error.
 MOST_FEEDS = 1_000_000
-#: Before and after these years a zone's rules come from the library row by row instead of from its table.
-FIRST_YEAR, LAST_YEAR = 1800, 2036
+#: From this year on, or from the last one that its file lists, a zone's rule alone holds; the tables go on for so many years.
+RULE_YEAR, CYCLE = 2038, 40
 
 # English names of months and days of the week.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -45,16 +46,58 @@ WEEKDAY_OF = {n: i for i, d in enumerate(WEEKDAYS) for n in (d, d[:3])}
 # ---------------------------------------------------------------- zone transition tables
 
 
+@dataclass(frozen=True)
+class Zone:
+    """UTC microseconds of the changes of a zone's offset, the offset in each period between them, and the year from which on its rule alone holds (none without rule)."""
+
+    at: np.ndarray
+    offset: np.ndarray
+    rule_year: int | None = None
+
+
+def _days(years: np.ndarray) -> np.ndarray:
+    """Days from 1970 to the first of January."""
+    return (years - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+
+
+def _shape(years: np.ndarray) -> np.ndarray:
+    """A number for leap or not and the first day of the week."""
+    first = _days(years)
+    return (_days(years + 1) - first - 365) * 7 + first % 7
+
+
 @dataclass
 class ZoneTables:
-    """For each zone the UTC microseconds of its transitions and the offset in each period between them."""
+    """The zones of one version of the time zone database."""
 
     version: str
-    zones: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    zones: dict[str, Zone] = field(default_factory=dict)
+    checksum: int = 0
+
+    def sum(self) -> int:
+        out = zlib.crc32(self.version.encode())
+        for name, z in sorted(self.zones.items()):
+            for part in (name.encode(), z.at.tobytes(), z.offset.tobytes(), str(z.rule_year).encode()):
+                out = zlib.crc32(part, out)
+        return out
+
+    def checked(self) -> ZoneTables:
+        if self.sum() != self.checksum:
+            raise RuntimeError(f"the tables of time zone database {self.version} aren't those that were sent")
+        return self
 
     def to_utc(self, local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
         """Instants of local microseconds, and where exactly one instant exists."""
-        at, offset = self.zones[zone]
+        z = self.zones[zone]
+        later = np.zeros(len(local), np.int64)
+        if z.rule_year is not None and len(late := np.flatnonzero(local >= _days(np.array([z.rule_year + CYCLE]))[0] * DAY)):
+            own = np.arange(z.rule_year, z.rule_year + CYCLE)
+            of_shape = np.zeros(14, np.int64)
+            of_shape[_shape(own)] = own
+            year = (local[late] // DAY).astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+            later[late] = (_days(year) - _days(of_shape[_shape(year)])) * DAY
+            local = local - later
+        at, offset = z.at, z.offset
         n = len(at)
         guess = np.searchsorted(at, local, side="right")
         hits, utc = np.zeros(len(local), np.int8), np.zeros(len(local), np.int64)
@@ -67,31 +110,7 @@ class ZoneTables:
                 inside &= ((k == 0) | (u >= at[np.maximum(k - 1, 0)])) & ((k == n) | (u < at[np.minimum(k, n - 1)]))
             hits += inside
             utc = np.where(inside, u, utc)
-        ok = hits == 1
-        late = np.flatnonzero((local >= _micros(LAST_YEAR, 1, 1)) | (local < _micros(FIRST_YEAR, 1, 1)))
-        for i in late:
-            u = _by_library(int(local[i]), zone)
-            ok[i], utc[i] = u is not None, u or 0
-        return utc, ok
-
-
-def _micros(year: int, month: int, day: int) -> int:
-    return int((datetime(year, month, day) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
-
-
-def _by_library(local: int, zone: str) -> int | None:
-    from zoneinfo import ZoneInfo
-
-    try:
-        wall = datetime(1970, 1, 1) + timedelta(microseconds=local)
-        z, found = ZoneInfo(zone), set()
-        for fold in (0, 1):
-            u = wall.replace(tzinfo=z, fold=fold).astimezone(UTC)
-            if u.astimezone(z).replace(tzinfo=None, fold=0) == wall:
-                found.add((u - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1))
-    except OverflowError:
-        return None
-    return found.pop() if len(found) == 1 else None
+        return utc + later, hits == 1
 
 
 def _read_zone_file(data: bytes) -> tuple[list[int], list[int]]:
@@ -113,28 +132,51 @@ def _read_zone_file(data: bytes) -> tuple[list[int], list[int]]:
     return times, [types[0][0], *(types[k][0] for k in kinds)]
 
 
-def _table_of(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    from zoneinfo import ZoneInfo
+_RULE = re.compile(r"(?:<[^>]+>|[A-Za-z]+)(?P<std>[-+0-9:]+)(?:<[^>]+>|[A-Za-z]+)(?P<dst>[-+0-9:]+)?,(?P<begin>[^,/]+)(?:/(?P<begin_at>[-+0-9:]+))?,(?P<end>[^,/]+)(?:/(?P<end_at>[-+0-9:]+))?")
+
+
+def _seconds(text: str) -> int:
+    parts = [int(x) for x in text.lstrip("+-").split(":")]
+    return sum(x * 60 ** (2 - i) for i, x in enumerate(parts)) * (-1 if text[0] == "-" else 1)
+
+
+def _day_of_rule(rule: str, year: int) -> int:
+    """Days since 1970 of the day that a rule (Mm.w.d, Jn or n) names in a year."""
+    first = int(_days(np.array([year]))[0])
+    if rule[0] == "M":
+        month, week, weekday = map(int, rule[1:].split("."))
+        months = (np.array([0, 1]) + (year - 1970) * 12 + month - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+        day = int(months[0]) + (weekday - (int(months[0]) + 4)) % 7 + 7 * (week - 1)
+        return day if day < months[1] else day - 7
+    leap = int(_days(np.array([year + 1]))[0]) - first == 366
+    return first + int(rule[1:]) - 1 + (leap and int(rule[1:]) > 59) if rule[0] == "J" else first + int(rule)
+
+
+def _changes(rule: re.Match, years: range) -> list[tuple[int, int]]:
+    """(UTC second, offset from then on) of each change by a rule of POSIX."""
+    standard = -_seconds(rule["std"])
+    summer = -_seconds(rule["dst"]) if rule["dst"] else standard + 3600
+    out = []
+    for year in years:
+        out.append((_day_of_rule(rule["begin"], year) * 86_400 + _seconds(rule["begin_at"] or "2") - standard, summer))
+        out.append((_day_of_rule(rule["end"], year) * 86_400 + _seconds(rule["end_at"] or "2") - summer, standard))
+    return sorted(out)
+
 
+def _table_of(data: bytes) -> Zone:
     times, offsets = _read_zone_file(data)
-    end = _micros(LAST_YEAR + 1, 1, 1) // SECOND
-    footer = data.rsplit(b"\n", 2)[-2] if data.endswith(b"\n") else b""
-    if b"," in footer and (not times or times[-1] < end - 400 * 86_400):  # the file leaves later changes to its rule
-        z = ZoneInfo(name)
-        offset = lambda t: int((datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=t)).astimezone(z).utcoffset().total_seconds())
-        low = (times[-1] if times else _micros(1970, 1, 1) // SECOND) + 1
-        while low < end:
-            high = low + 5 * 86_400
-            if offset(low) != offset(high):
-                a, b = low, high
-                while b - a > 1:
-                    mid = (a + b) // 2
-                    a, b = (mid, b) if offset(mid) == offset(low) else (a, mid)
-                times.append(b)
-                offsets.append(offset(b))
-            low = high
+    footer = data.rsplit(b"\n", 2)[-2].decode() if data.endswith(b"\n") else ""
+    rule_year = None
+    if rule := _RULE.fullmatch(footer):  # the file leaves later changes to its rule
+        last = times[-1] if times else -(1 << 62)
+        listed = int(np.datetime64(last, "s").astype("datetime64[Y]").astype(np.int64)) + 1970 if times else 1970
+        rule_year = max(RULE_YEAR, listed + 1)
+        for t, offset in _changes(rule, range(listed, rule_year + CYCLE + 1)):
+            if t > last:
+                times.append(t)
+                offsets.append(offset)
     keep = [i for i in range(len(times)) if offsets[i] != offsets[i + 1]]  # changes of the name only don't count
-    return np.array([times[i] for i in keep], np.int64) * SECOND, np.array([*(offsets[i] for i in keep), offsets[-1]], np.int64) * SECOND
+    return Zone(np.array([times[i] for i in keep], np.int64) * SECOND, np.array([*(offsets[i] for i in keep), offsets[-1]], np.int64) * SECOND, rule_year)
 
 
 @lru_cache(1)
@@ -159,9 +201,11 @@ def zone_tables() -> ZoneTables:
     for name in zoneinfo.available_timezones():
         for root in roots:
             if (f := root / name).is_file():
-                tables[name] = _table_of(name, f.read_bytes())
+                tables[name] = _table_of(f.read_bytes())
                 break
-    return ZoneTables(version, tables)
+    out = ZoneTables(version, tables)
+    out.checksum = out.sum()
+    return out
 
 
 # ---------------------------------------------------------------- masks and layouts
@@ -309,14 +353,9 @@ class Normaliser:
             has = np.flatnonzero(size[f])
             return has, [texts[i][a : a + b] for i, a, b in zip(has.tolist(), at[f][has].tolist(), size[f][has].tolist(), strict=True)]
 
-        of_feed: dict = {}
-        own_zone, day_first = np.empty(n, np.int64), np.empty(n, np.int64)
-        for i, r in enumerate(rows.tolist()):
-            f = feeds[r]
-            if f not in of_feed:
-                zone, order = self.feeds.get(f, (None, -1)) if isinstance(f, str) else (None, -1)
-                of_feed[f] = self._zone(zone), order
-            own_zone[i], day_first[i] = of_feed[f]
+        feed, names = pd.factorize(np.array(feeds, object)[rows])  # a null feed: -1, so the last of the list
+        of_feed = [(self._zone(zone), order) for zone, order in (*(self.feeds.get(f, (None, -1)) for f in names), (None, -1))]
+        own_zone, day_first = (np.array(x, np.int64)[feed] for x in zip(*of_feed, strict=True))
         ok = np.ones(n, bool)
         unix = size["unix"] > 0
         year, month, day = number("Y"), number("m"), number("d")
@@ -388,7 +427,7 @@ def instant_column(feeds: DataFrame, labels: DataFrame):
     @F.pandas_udf("bigint")
     def instant(text: pd.Series, feed: pd.Series) -> pd.Series:
         if not made:
-            made.append(Normaliser(tables, feed_of, label_of))
+            made.append(Normaliser(tables.checked(), feed_of, label_of))
         utc, ok = made[0](text.to_numpy(object), feed.to_numpy(object))
         return pd.Series(pd.arrays.IntegerArray(utc, ~ok))
 

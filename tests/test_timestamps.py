@@ -1,13 +1,17 @@
 """Instants of mixed texts: fixed cases, and rendered instants against the library's zone arithmetic."""
 
+import random
+import zoneinfo
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.operators.timestamps import MOST_MASKS, Normaliser, instant_column, layout_of, with_instant, zone_tables
+from quern.operators.timestamps import _RULE, CYCLE, MOST_MASKS, Normaliser, ZoneTables, _changes, _shape, instant_column, layout_of, with_instant, zone_tables
 
 FEEDS = {"berlin": ("Europe/Berlin", "DMY"), "york": ("America/New_York", "MDY"), "none": (None, "MDY"), "fixed": ("+05:30", None)}
 LABELS = {"NYC": "America/New_York", "CET": "+01:00", "UTC": "UTC", "BER": "Europe/Berlin"}
@@ -33,7 +37,7 @@ CASES = [
     ("2022-01-15T10:30:00.123456789+05:30", "none", "2022-01-15T05:00:00.123456+00:00"), ("2022-01-15 10:30:00,1Z", "none", "2022-01-15T10:30:00.1+00:00"), ("20220115T103000+01", "none", "2022-01-15T09:30:00+00:00"),
     ("2022-01-15T10:30:00[Asia/Tokyo]", "none", "2022-01-15T01:30:00+00:00"), ("2022-01-15 10:30:00 America/New_York", "none", "2022-01-15T15:30:00+00:00"), ("2022-01-15T10:30:00." + "7" * 300 + "Z", "none", "2022-01-15T10:30:00.777777+00:00"),
     ("2022-01-15 00:00", "fixed", "2022-01-14T18:30:00+00:00"), ("01/02/2022", "fixed", None), ("2022-03-27 02:30", "berlin", None), ("2022-10-30 02:30", "berlin", None),
-    ("2022-10-30 02:30+02:00", "berlin", "2022-10-30T00:30:00+00:00"), ("2022-10-30 03:00", "berlin", "2022-10-30T02:00:00+00:00"), ("2050-07-01 12:00 BER", "none", "2050-07-01T10:00:00+00:00"),
+    ("2022-10-30 02:30+02:00", "berlin", "2022-10-30T00:30:00+00:00"), ("2022-10-30 03:00", "berlin", "2022-10-30T02:00:00+00:00"), ("9999-12-31", "berlin", "9999-12-30T23:00:00+00:00"), ("9999-07-01 12:00", "york", "9999-07-01T16:00:00+00:00"), ("2050-07-01 12:00 BER", "none", "2050-07-01T10:00:00+00:00"),
     ("2022-02-29", "berlin", None), ("2024-02-29 UTC", "none", "2024-02-29T00:00:00+00:00"), ("2022-01-15 24:00", "berlin", None), ("2022-01-15 13:00 PM", "berlin", None), ("2022-01-15 10:30 XYZ", "berlin", None),
     ("2022-01-15 10:30 EST", "berlin", None), ("2022-01-15 10:30 Mars/Base", "berlin", None), ("2022-01-15 10:30 +25:00", "berlin", None), ("0000-01-01", "berlin", None), ("", "berlin", None), (None, "berlin", None),
     ("n/a", "berlin", None), ("123", "berlin", None), ("٢٠٢٢-01-15", "berlin", None), ("x" * 100_000, "berlin", None), ("2022-01-15", None, None), ("2022-01-15", "unknown", None), ("2022-01-15Q10:30", "berlin", None),
@@ -75,7 +79,7 @@ def test_more_masks_than_are_kept():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.datetimes(datetime(1971, 1, 1), datetime(2036, 12, 30)), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "Africa/Casablanca", "America/Sao_Paulo"]))
+@given(st.datetimes(datetime(1971, 1, 1), datetime(2036, 12, 30)) | st.datetimes(datetime(1, 1, 3), datetime(9999, 12, 28)), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "Africa/Casablanca", "America/Sao_Paulo"]))
 def test_wall_times_against_the_library(wall, zone):
     z, found = ZoneInfo(zone), set()
     for fold in (0, 1):
@@ -83,12 +87,37 @@ def test_wall_times_against_the_library(wall, zone):
         if u.astimezone(z).replace(tzinfo=None, fold=0) == wall:
             found.add((u - datetime(1970, 1, 1, tzinfo=UTC)) // MICRO)
     n = Normaliser(zone_tables(), {"f": (zone, "DMY")}, {})
-    utc, ok = n([wall.isoformat(" ", "microseconds"), wall.strftime("%d/%m/%Y %H:%M:%S.%f")], ["f", "f"])
+    utc, ok = n([wall.isoformat(" ", "microseconds"), f"{wall:%d/%m}/{wall.year:04} {wall:%H:%M:%S.%f}"], ["f", "f"])
     assert [int(u) if o else None for u, o in zip(utc, ok, strict=True)] == [found.pop() if len(found) == 1 else None] * 2
 
 
-def test_tables_have_a_version():
-    assert zone_tables().version != "unknown" and len(zone_tables().zones) > 400
+def test_rules_go_on_as_the_library_says():
+    rng = random.Random(9)
+    for zone in sorted(zone_tables().zones):
+        z = ZoneInfo(zone)
+        if (first := zone_tables().zones[zone].rule_year) is not None:
+            assert set(_shape(np.arange(first, first + CYCLE)).tolist()) == set(range(14))
+        local = [datetime(rng.choice([2037, 2038, 2039, 2064, 2065, 2066, 2067, 2099, 2100, 2101, 2399, 2400, rng.randrange(2037, 9999)]), 1, 1) + timedelta(hours=rng.randrange(364 * 24)) for _ in range(40)]
+        utc, ok = zone_tables().to_utc(np.array([(t - datetime(1970, 1, 1)) // MICRO for t in local]), zone)
+        for t, u, good in zip(local, utc.tolist(), ok.tolist(), strict=True):
+            found = {(x - datetime(1970, 1, 1, tzinfo=UTC)) // MICRO for f in (0, 1) if (x := t.replace(tzinfo=z, fold=f).astimezone(UTC)).astimezone(z).replace(tzinfo=None, fold=0) == t}
+            assert (found == {u}) if good else len(found) != 1, (zone, t)
+
+
+def test_rules_give_what_files_list():
+    for name in ("Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "America/Santiago", "Africa/Cairo", "America/Nuuk", "Europe/Dublin"):
+        data = next(f for p in zoneinfo.TZPATH if (f := Path(p) / name).is_file()).read_bytes()
+        z = zone_tables().zones[name]
+        listed = dict(zip(z.at.tolist(), z.offset[1:].tolist(), strict=True))
+        by_rule = {t * 1_000_000: o * 1_000_000 for t, o in _changes(_RULE.fullmatch(data.rsplit(b"\n", 2)[-2].decode()), range(2050, 2066))}
+        assert by_rule.items() <= listed.items() and len(by_rule) == 32
+
+
+def test_tables_have_a_version_and_are_checked():
+    tables = zone_tables()
+    assert tables.version != "unknown" and len(tables.zones) > 400 and tables.checked() is tables
+    with pytest.raises(RuntimeError):
+        ZoneTables("another", tables.zones, tables.checksum).checked()
 
 
 def test_on_spark_with_clashing_names_and_no_rows(spark):
