@@ -172,9 +172,9 @@ _P2 = f"""
             len(list_filter(raw, lambda x: x not like '"%' and regexp_matches(x, '[\r\n]'))) as broken from cut),
         named as (select *, {_strip('c[4]')} as s, {_strip('c[5]')} as d from cells),
         typed as (select *, case when regexp_matches(s, {_NUMBER}) then try_cast(s as double) end as salary,
-            case when regexp_matches(d, {_DAY}) and (not contains(d, '-') or not contains(d, '/')) then try_cast(replace(d, '/', '-') as timestamp) end as day from named)
+            case when regexp_matches(d, {_DAY}) and (not contains(d, '-') or not contains(d, '/')) then nullif(try_cast(replace(d, '/', '-') as timestamp), case when d like '0000%' then try_cast(replace(d, '/', '-') as timestamp) end) end as day from named)
     select *, case when t is null then 'column_count' when not proper then 'quoting' when len(raw) <> 5 or broken > 0 then 'column_count'
-        when s <> '' and not regexp_matches(s, {_NUMBER}) then 'salary' when d <> '' and day is null then 'update_date' end as reason from typed"""
+        when s <> '' and not coalesce(regexp_matches(s, {_NUMBER}) and isfinite(salary), false) then 'salary' when d <> '' and day is null then 'update_date' end as reason from typed"""
 
 _P1_ROWS = """(select 'sales' as table_name, sale_id as row_id, date as text, feed from sales union all select 'employees', emp_row, "UpdateDate", feed from employees
     union all select 'employee_info', info_row, "UpdateDate", feed from employee_info)"""

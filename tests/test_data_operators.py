@@ -53,7 +53,7 @@ def parsed(record):
     if len(cells) != 5 or broken:
         return "column_count", None
     salary, date = cells[3].strip(), cells[4].strip()
-    if salary and not re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", salary):
+    if salary and (not re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", salary) or math.isinf(float(salary))):
         return "salary", None
     if date:
         m = re.fullmatch(r"([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})(?: +([0-9]{2}):([0-9]{2}):([0-9]{2}))?", date)
@@ -68,6 +68,8 @@ FIXED = [
     None, "", ",,,,", "1,a,2,3,2020/1/1", '1,"a, b",2,3,2020-1-1', '1,"open,2,3,2020/1/1', '1,a"b",2,3,2020/1/1', '1,"a" x,2,3,2020/1/1', '1,"a\nb",2,3,2020/1/1', "1,a,2,3", "1,a,2,3,2020/1/1,x",
     "1,a,2,1e,2020/1/1", "1,a,2,NaN,2020/1/1", "1,a,2, +.5e3 ,2020/1/1\r", "1,a,2,1,2020/1/1\n", "1,a,2,1,2020/1-1", "1,a,2,1,2020/2/30", "1,a,2,1,2020/02/29 23:59:59", "1,a,2,1,2020/02/29 24:00:00",
     "1,a,2,1,20/1/1", "1,a\nb,2,3,2020/1/1", '"1","a","2","3","2020/1/1"', '1,"a ""q"" b",2,3,2020/1/1', '""', '"', 'a"', "1,\tx\t,2,3,", "1,a,2,1_000,2020/02/30", '1,"' + "x" * 100_000 + '",2,3,2020/1/1', "1,é,2,１,2020/1/1", "\x00,a,2,3,2020/1/1",
+    "1,a,2,1e999,2020/1/1", '1,a,2,"-1e400",2020/1/1', "\\0,\\0,\\0,3,2020/1/1", "1,a,2,inf,", "1,a,2,nan,", "1,a,2,0x1,", "1,a,2,1e-400,2020/1/1", "1,a,2,1,0000-01-01", "1,a,2,1,epoch", "1,a,2,1,infinity", "1,a,2,1,2020-1-2T03:04:05", "1,a,2,1,2020-1-2 3:04:05",
+    "1,a,2,1,2020-1-2 03:04:05+01", "1,a,2, 1 , 2020/1/1 ", '1,"a",2,"",""', '1,a,2,"3,5",2020/1/1', "NULL,NULL,NULL,NULL,NULL", "1,a,2,1,12020-01-01", "1,a,2,1,2020-01-01 23:59:60", "1,a,2,\xa05\u3000,\u20032020/1/1\x1f",
 ]
 
 
@@ -77,14 +79,30 @@ def test_records_against_a_reader_of_characters():
     records = FIXED + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     records += [f'{i},"n{i}",2,{i},2020/1/{i % 31 + 1}' if i % 3 else f'{i},"n{i},2,{i},2020/1/1' for i in range(300)]
     rng.shuffle(records)
-    rows, failed = rejects.load_batch(records)
-    got = {r["n"]: r["reason"] for r in rows.select(["n", "reason"]).to_pylist()} | {n: reason for n, (reason, _) in failed.items()}
+    files = [rng.choice([None, *"abcdefgh"]) for _ in records]
+    rows, failed = rejects.load_batch(records, files)
+    assert rows.num_rows + len(failed) == len(records)
+    got = dict.fromkeys(rows["n"].to_pylist()) | {n: reason for n, (reason, _) in failed.items()}
     wrong = [(r, got.get(n, "none"), parsed(r)[0]) for n, r in enumerate(records) if got.get(n, "none") != parsed(r)[0]]
     assert not wrong
     cells = {r["n"]: r for r in rows.to_pylist()}
     for n, r in enumerate(records):
         if (want := parsed(r))[0] is None:
-            assert [cells[n][c] or "" for c in rejects.CELLS[:3]] == want[1][:3]
+            assert [cells[n][c] for c in rejects.CELLS[:3]] == want[1][:3]
+            assert cells[n]["Salary"] == (float(x) if (x := want[1][3].strip()) else None)
+
+
+def test_reject_tables_name_typed_columns_and_files():
+    many = [f"f{i}" for i in range(450)]  # more files than one call of the reader opens
+    texts, files = [], []
+    for f in many:
+        texts += ["1,a,2,3.5,2020/1/2", "1,a,2,x,bad", "1,a,2,1,2020/02/30", '1,"open,2,3,2020/1/1', "1,a,2,4,2021-1-2"]
+        files += [f] * 5
+    rows, failed = rejects.load_batch(texts, files)
+    assert sorted(n % 5 for n in rows["n"].to_pylist()) == [0] * 450 + [4] * 450
+    assert {failed[n] for n in failed if n % 5 == 1} == {("salary", "CAST Salary; CAST UpdateDate")} and {failed[n] for n in failed if n % 5 == 2} == {("update_date", "CAST UpdateDate")}
+    assert {failed[n][0] for n in failed if n % 5 == 3} == {"quoting"} and len(failed) == 3 * 450
+    assert rejects.load_batch([], [])[0].num_rows == 0
 
 
 def test_loading_on_spark(spark):
