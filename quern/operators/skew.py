@@ -1,12 +1,14 @@
 """Results per key when a few keys hold most rows.
 
-Hot keys are found by selection on mergeable counts: all keys are counted in a fixed number of hash cells (a tiny histogram
-per task, merged); only cells that could hold a hot key are refined, to exact counts per key. At most 1/share keys are hot, whatever the data, so
-they may be sent everywhere.
+Both results come from exact selection: histograms of values are counted (partial counts in every task, merged), the cells that matter are refined into
+histograms of their own, and so on until a cell holds one value only. No task ever holds a hot key's values.
 
-Quantiles per key: keys below the share are sorted in groups as usual; for the hot ones each pass counts the values in the cells of a
-histogram (with each cell's least and greatest value; partial counts in every task, merged), takes the cell that holds the wanted
-rank and refines it, until that cell holds one value only. No task ever holds a hot key's values.
+Hot keys: the values are hashes of the keys. Cells of fewer rows than a hot key has can't hold one and leave; at most 1/share cells stay in
+each round, whatever the data. Keys whose cell holds one hash are then counted exactly, as two keys might share it.
+
+Quantiles per key: keys of at most LARGE rows are sorted in groups; for all others each round counts the values in the cells of a key's open ranges (with each
+cell's least and greatest value), takes the cell that holds the wanted rank and makes it the next range. What is open, one row per key and quantile, is itself a table, written after
+each round, so neither the number of large keys nor their rows bound the size of the job.
 
 Defined results: keys are trimmed; null and blank keys are in no result (but count in the number of all rows); null, NaN and infinite
 values count for nothing. The quantile q of n values is the one of rank max(1, ceil(q n)) in ascending order.
@@ -16,66 +18,73 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped_or_null
+from ..sources.shared import written
 from ..sources.tables import columns
 
-CELLS = 4096
-#: Keys with at least this share of the rows are never sorted in one task.
-HOT = 1 / 4000
+#: Bits of the hash that a round refines, and bits of the hash.
+ROUND_BITS, BITS = 12, 60
+#: Cells of a range.
+CELLS = 1024
+#: Keys of more rows than this are never sorted in one task.
+LARGE = 1_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """(key_value, n_rows) of the trimmed, non-blank keys that hold at least `share` of all rows."""
     keys = columns(df, key).select(stripped_or_null(F.col(key)).alias("key_value"))
-    cell = F.pmod(F.xxhash64("key_value"), F.lit(CELLS))
-    histogram = keys.groupBy(F.when(F.col("key_value").isNotNull(), cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    counted = histogram.collect()  # at most CELLS + 1 rows
-    least = max(1, math.ceil(sum(r.n for r in counted) * share - 1e-9))
-    hot = [r.cell for r in counted if r.cell is not None and r.n >= least]
-    refined = keys.where(F.col("key_value").isNotNull() & cell.isin(hot)) if hot else keys.limit(0)
+    least = max(1, math.ceil(keys.count() * share - 1e-9))
+    hashed = F.shiftrightunsigned(F.xxhash64("key_value"), 64 - BITS)
+    cell = lambda bits: F.shiftrightunsigned(hashed, BITS - bits)
+    bits, open_, resolved = 0, [0], []
+    while open_ and bits < BITS:
+        within = F.col("key_value").isNotNull() & (cell(bits).isin(open_) if bits else F.lit(True))
+        bits += ROUND_BITS
+        histogram = keys.where(within).groupBy(cell(bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+        kept = histogram.where(F.col("n") >= least).collect()  # at most 1 / share rows
+        resolved += [r.least for r in kept if r.least == r.most]
+        open_ = [r.cell for r in kept if r.least != r.most]
+    refined = keys.where(F.col("key_value").isNotNull() & hashed.isin(resolved)) if resolved else keys.limit(0)
     return refined.groupBy("key_value").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: tuple[float, ...], hot_share: float = HOT) -> DataFrame:
-    """(key_value, q, quantile): exact quantiles of the double column `value` for each trimmed, non-blank key."""
+def _rank(q: Column, n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(q * n - F.lit(1e-9)))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: tuple[float, ...], large: int = LARGE) -> DataFrame:
+    """(key_value, q, quantile): exact quantiles of the double column `value` for each trimmed, non-blank key. Keys of more than `large` rows are resolved by selection."""
     rows = columns(df, key, value).select(stripped_or_null(F.col(key)).alias("key_value"), F.col(value).cast("double").alias("v")).where("key_value is not null and abs(v) < double('Infinity')")
-    hot = sorted(r.key_value for r in hot_keys(df, key, hot_share).collect())  # at most 1 / hot_share rows
-    cold = rows.where(~F.col("key_value").isin(hot)) if hot else rows
+    rows = written(rows)  # parsed once for all rounds
+    ends = rows.groupBy("key_value").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    big = written(ends.where(F.col("n") > large))
+    wanted = F.explode(F.array(*(F.lit(float(q)) for q in probabilities))).alias("q")
+    small = rows.join(big, "key_value", "left_anti")
     at = Window.partitionBy("key_value")
-    ranked = cold.withColumn("rank", F.row_number().over(at.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(at))
-    wanted = F.explode(F.array(*(F.lit(float(q)) for q in probabilities)))
-    rank_of = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - F.lit(1e-9)))
-    sorted_part = ranked.withColumn("q", wanted).where(F.col("rank") == rank_of).select("key_value", "q", F.col("v").alias("quantile"))
-    if not hot:
-        return sorted_part
-    return sorted_part.unionByName(_selected(rows.where(F.col("key_value").isin(hot)), probabilities))
-
-
-def _selected(rows: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
-    """Selection by refined histograms, for a bounded number of keys (the driver holds one range per key and quantile)."""
-    spark = rows.sparkSession
-    ends = rows.groupBy("key_value").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
-    open_, found = {}, []
-    for r in ends:
-        for q in probabilities:
-            open_[r.key_value, float(q)] = (r.lo, r.hi, max(1, math.ceil(q * r.n - 1e-9)))
+    ranked = small.withColumn("rank", F.row_number().over(at.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(at))
+    out = ranked.select("*", wanted).where(F.col("rank") == _rank(F.col("q"), F.col("n"))).select("key_value", "q", F.col("v").alias("quantile"))
+    state = big.select("key_value", wanted, "n", "lo", "hi").select("key_value", "q", "lo", "hi", _rank(F.col("q"), F.col("n")).alias("rank"))
     while True:
-        found += [(k, q, lo) for (k, q), (lo, hi, _) in open_.items() if lo == hi]
-        open_ = {kq: x for kq, x in open_.items() if x[0] != x[1]}
-        if not open_:
-            return spark.createDataFrame(found, "key_value string, q double, quantile double")
-        # halved where the range itself isn't finite; the ends of a range always fall into different cells
-        ranges = sorted({(k, lo, hi, 1.0 if math.isfinite(hi - lo) else 0.5) for (k, _), (lo, hi, _) in open_.items()})
-        known = F.broadcast(spark.createDataFrame(ranges, "k string, lo double, hi double, scale double"))
-        inside = rows.join(known, (F.col("key_value") == F.col("k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        place = (F.col("v") * F.col("scale") - F.col("lo") * F.col("scale")) / (F.col("hi") * F.col("scale") - F.col("lo") * F.col("scale"))
-        cell = F.least(F.lit(CELLS - 1), F.floor(place * CELLS).cast("int"))
-        counts = inside.groupBy("k", "lo", "hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-        upto = Window.partitionBy("k", "lo", "hi").orderBy("cell")  # at most CELLS rows
-        counts = counts.withColumn("upto", F.sum("n").over(upto))
-        asked = spark.createDataFrame([(k, q, lo, hi, rank) for (k, q), (lo, hi, rank) in open_.items()], "k string, q double, lo double, hi double, rank bigint")
-        hit = counts.join(F.broadcast(asked), ["k", "lo", "hi"]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-        open_ = {(r.k, r.q): (r.least, r.most, r["rank"] - (r.upto - r.n)) for r in hit.collect()}
+        out = out.unionByName(state.where("lo = hi").select("key_value", "q", F.col("lo").alias("quantile")))
+        open_ = state.where("lo <> hi")
+        if open_.isEmpty():
+            return out
+        state = written(_refined(rows, open_))
+
+
+def _refined(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """The open (key_value, q, lo, hi, rank) with the range of the cell that holds the rank, and the rank within it."""
+    ranges = open_.select(F.col("key_value").alias("k"), "lo", "hi").distinct()
+    inside = rows.join(ranges, (F.col("key_value") == F.col("k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    scale = F.when(F.col("hi") - F.col("lo") < float("inf"), 1.0).otherwise(0.5)  # halved where the range itself isn't finite; the ends of a range always fall into different cells
+    place = (F.col("v") * scale - F.col("lo") * scale) / (F.col("hi") * scale - F.col("lo") * scale)
+    cell = F.least(F.lit(CELLS - 1), F.floor(place * CELLS).cast("int"))
+    counts = inside.groupBy("k", "lo", "hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    upto = Window.partitionBy("k", "lo", "hi").orderBy("cell")  # at most CELLS rows
+    counts = counts.withColumn("upto", F.sum("n").over(upto))
+    asked = open_.select(F.col("key_value"), "q", F.col("lo").alias("a"), F.col("hi").alias("b"), "rank")
+    hit = asked.join(counts, (F.col("key_value") == F.col("k")) & (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    return hit.select("key_value", "q", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))

@@ -295,11 +295,21 @@ def test_hot_keys_and_exact_quantiles(spark):
         if k and k.strip() and v is not None and math.isfinite(v):
             by[k.strip()].append(v)
     want = {(k, p, sorted(vs)[max(1, math.ceil(p * len(vs) - 1e-9)) - 1]) for k, vs in by.items() for p in qs}
-    for share in (0.04, 0.002, 2.0):
-        assert set(map(tuple, skew.exact_quantiles(df, "key", "v", qs, share).collect())) == want
+    for large in (skew.LARGE, 40, 0):  # none, the two largest, all keys by selection
+        got = skew.exact_quantiles(df, "key", "v", qs, large).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
     assert skew.exact_quantiles(df.limit(0), "key", "v", qs).collect() == []
 
 
+def test_no_key_of_more_than_the_stated_rows_is_sorted(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(skew, "written", lambda df: kept.append(df.cache()) or kept[-1])
+    df = spark.range(5000).selectExpr("case when id < 3000 then 'a' when id < 4001 then 'b' when id < 4999 then 'c' end as key", "cast(id % 97 as double) as v")
+    got = {(r.key_value, r.q): r.quantile for r in skew.exact_quantiles(df, "key", "v", (0.5,)).collect()}
+    assert {r.key_value for r in kept[1].collect()} == {"a", "b"}  # resolved by selection; c has fewer rows
+    assert got == {(k, 0.5): float(sorted(i % 97 for i in range(*r))[(r[1] - r[0] + 1) // 2 - 1]) for k, r in {"a": (0, 3000), "b": (3000, 4001), "c": (4001, 4999)}.items()}
+
+
 def test_ordinals(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("id as v")
     assert all(r.v == r.n for r in with_ordinal(df, "n").collect())
