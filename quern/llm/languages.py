@@ -8,14 +8,17 @@ The dictionaries come from a bounded sample (SAMPLE documents of each label, cho
 documents) on; one whose held-out texts its own dictionary compresses hardly better than those before it, or one of those as well as its own texts, is another name for it, or a mixture, and none of the languages. Then half of the sample judges the other
 half and the reverse: documents that aren't judged to be of their label leave, then paragraphs in another language, then labels most of whose documents
 left, until nothing changes. Only
-languages whose texts take a similar number of bytes per character are tried for a text, which tells scripts apart.
+languages whose texts take a similar number of bytes per character are tried for a text, which tells scripts apart; where fewer than two do, the
+dictionary must compress the text surely better than none does, else the text is of no known language.
 
 Defined results: segment 0 is the document (the language of most of its characters, over its running text; if none of that is judged surely, of all its words together, with a confidence of MARGIN at most), segment k its k-th paragraph of running text in another language, counted from 1 over the parts between
-empty lines. Texts without words (null, empty, blank, only formulas) or with a single one, which may be a name, have no language and no rows. Repeated documents are judged each for itself. Without any labelled text there are no languages and no rows.
+empty lines. Texts without words (null, empty, blank, only formulas) or with a single one, which may be a name, have no language and no rows, nor have those in a script of no known language.
+A < or $ that begins no tag and no formula is text. Repeated documents are judged each for itself. Without any labelled text there are no languages and no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -44,11 +47,17 @@ MARGIN, MARGIN_BYTES, LETTERS, WORDS = 0.03, 6, 24, 5
 LEAD, LIKENESS, SURE, FEW = 0.05, 1.15, 0.3, 6
 #: Texts of a label's sample that are left so many times larger than usual are strange to it.
 STRANGE = 1.3
+#: A text is a copy of another if that one as a dictionary leaves less than this share of what no dictionary leaves.
+COPY = 0.5
 #: Bytes per character may differ by this factor at most.
 SCRIPT = 1.45
 
 _EMPTY_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
-_MARKUP = re.compile(r"<[^<>]*>?|\[\[[^\[\]]*\]\]|\$\$?[^$]*\$\$?|\$\$.*|\\[a-zA-Z]+|[a-zA-Z]_\{?\w*\}?", re.DOTALL)
+#: Tags (a name follows the <, attributes have values; the last > may be lost), placeholders of formulas, commands and names with an index.
+_MARKUP = re.compile(r"""</?[A-Za-z][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'))*\s*/?>?|<!--.*?-->|\[\[[\w-]*\]\]|\\[a-zA-Z]+|[a-zA-Z]_\{?\w*\}?""", re.DOTALL)
+#: What stands between dollars, or behind two that nothing closes; removed if it has the shape of a formula.
+_DOLLARS = re.compile(r"\$\$([^$]*)(?:\$\$|\Z)|\$([^$\n]*)\$")
+_FORMULA_WORD = re.compile(r"(?<![\\A-Za-z])[^\W\d_]{3,}")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -59,9 +68,22 @@ def label_language(c: Column) -> Column:
     return F.when(low.rlike("^[a-z]{2}$"), low)
 
 
+def _without_formula(m: re.Match) -> str:
+    """A blank for a formula: its words, if any, are less than half of it and it has signs of formulas. All else stays."""
+    inner = m[1] if m[1] is not None else m[2]
+    letters = sum(map(len, _FORMULA_WORD.findall(inner)))
+    return " " if not letters or letters * 2 < len(inner) and any(c in inner for c in "\\^_{}=") else m[0]
+
+
+def without_markup(text: str) -> str:
+    if "$" in text:
+        text = _DOLLARS.sub(_without_formula, text)
+    return _MARKUP.sub(" ", text) if any(c in text for c in "<[\\_") else text
+
+
 def running_text(paragraph: str) -> str | None:
     """The paragraph without markup and formulas if it is running text, else none."""
-    text = _MARKUP.sub(" ", paragraph) if any(c in paragraph for c in "<[$\\_") else paragraph
+    text = without_markup(paragraph)
     if len(text) < LETTERS // 2:
         return None
     words = _WORD.findall(text)
@@ -92,13 +114,16 @@ class Languages:
             self.compressors[language] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             text = content.decode("utf-8", "ignore")
             self.ratio[language] = len(content) / max(1, len(text))
+        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self._of_ratio: dict[int, list] = {}
 
     def tried(self, ratio: float) -> list:
+        """The languages of texts with that many bytes a character. Where there are no two of them to be compared, no dictionary at all ("") is tried too: one that doesn't help
+        is of another language."""
         key = round(ratio * 20)
         if key not in self._of_ratio:
             near = [(x, self.compressors[x]) for x, r in self.ratio.items() if _near(r, key / 20)]
-            self._of_ratio[key] = near or list(self.compressors.items())
+            self._of_ratio[key] = near if len(near) > 1 else [*(near or self.compressors.items()), ("", self.plain)]
         return self._of_ratio[key]
 
     def _sizes(self, text: str) -> list[tuple[int, str]]:
@@ -108,10 +133,8 @@ class Languages:
     def judge(self, text: str) -> tuple[str, float] | None:
         """(language, confidence) of running text; confidence 0 if the lead is narrow."""
         sizes = self._sizes(text)
-        if not sizes:
+        if not sizes[0][1]:
             return None
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
         lead = sizes[1][0] - sizes[0][0]
         return sizes[0][1], lead / sizes[1][0] if lead >= max(MARGIN_BYTES, MARGIN * sizes[1][0]) else 0.0
 
@@ -122,12 +145,14 @@ class Languages:
         return self.sure_segments(text) or self._by_words(text)
 
     def _by_words(self, text: str) -> list[tuple[int, str, float]]:
-        words = _WORD.findall(_MARKUP.sub(" ", text))
+        words = _WORD.findall(without_markup(text))
         joined = " ".join(words)
-        if max(len(words), len(_IDEOGRAPH.findall(joined))) < 2 or not (sizes := self._sizes(joined)):
+        if max(len(words), len(_IDEOGRAPH.findall(joined))) < 2:
             return []
-        lead = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else MARGIN
-        return [(0, sizes[0][1], min(lead, MARGIN))]
+        sizes = self._sizes(joined)
+        if any(not x for _, x in sizes):  # the lead over no dictionary must be sure: else any unknown language would be the nearest known one
+            sizes = sizes if (found := self.judge(joined)) and found[1] else []
+        return [(0, sizes[0][1], min(1 - sizes[0][0] / sizes[1][0], MARGIN))] if sizes else []
 
     def sure_segments(self, text: str) -> list[tuple[int, str, float]]:
         """As segments, by paragraphs of running text with a sure lead only."""
@@ -180,6 +205,20 @@ def _near(a: float, b: float) -> bool:
     return max(a, b) <= SCRIPT * min(a, b)
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """The texts without copies and near-copies of ones before them: two copies under a wrong label would vouch for each other."""
+    kept: list[Languages] = []
+    out = []
+    for t in texts:
+        parts = [data for p in _EMPTY_LINES.split(t) if (r := running_text(p)) for data in cut(r)]
+        own = "\n".join(data.decode() for data in parts).encode()
+        plain = sum(len(Languages({}).plain.compress(data)) for data in parts)
+        if all(sum(len(k.compressors[""].compress(data)) for data in parts) >= COPY * plain for k in kept):
+            kept.append(Languages({"": own}))
+            out.append(t)
+    return out
+
+
 def _alike(texts: list[str]) -> list[str]:
     """The texts without those that the other half's dictionary compresses far worse than it usually does."""
     if len(texts) < 4:
@@ -210,7 +249,7 @@ def _own_part(languages: Languages, text: str, language: str) -> str | None:
 def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) -> Languages:
     """Languages of labelled texts of which some have a wrong label; counts: documents of each label."""
     kept = {x: [t for t in texts if any(map(running_text, _EMPTY_LINES.split(t)))] for x, texts in samples.items()}
-    kept = {x: _alike(t) for x, t in kept.items() if t}
+    kept = {x: _alike(_distinct(t)) for x, t in kept.items() if t}
     counts = counts or {x: len(t) for x, t in kept.items()}
     own: dict[str, bytes] = {}
     usual: dict[str, float] = {}  # share that is left of held-out texts of a language by its dictionary
@@ -243,24 +282,28 @@ def fit(samples: dict[str, list[str]], counts: dict[str, int] | None = None) ->
 
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> tuple[dict[str, list[str]], dict[str, int]]:
-    """Texts of `each` documents per two-letter label (so of at most 676 labels), the least by a hash of the key; and the number of documents of each label.
-    Texts of LONG characters or fewer count for labels that have no longer ones only."""
+    """Texts of `each` documents at most per two-letter label (so of at most 676 labels), the least by a hash of the key; and the number of documents of each label.
+    Labels are counted first, without reading texts; so one more scan finds the keys of the least hashes, with some to spare, together with their texts. Texts of LONG
+    characters or fewer are taken after longer ones."""
     docs = columns(docs, "doc_id", "lang", "text")
-    labelled = docs.where(F.length("text") > 0).select("doc_id", label_language(F.col("lang")).alias("language"), (F.length("text") > LONG).alias("long"))
-    labelled = labelled.where("language is not null and doc_id is not null")
-    by_label = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_if("long").alias("n_long")).collect()
-    counts = {r.language: r.n_long or r.n for r in by_label}
-    labelled = labelled.where(F.col("long") | F.col("language").isin([r.language for r in by_label if not r.n_long]))
-    order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("doc_id", "language").collect()
-    languages = {r.doc_id: r.language for r in chosen}
-    texts = docs.where(F.col("doc_id").isin(list(languages))).select("doc_id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect()
+    labelled = docs.select("doc_id", label_language(F.col("lang")).alias("language"), "text").where("language is not null and doc_id is not null")
+    counts = {r.language: r["count"] for r in labelled.groupBy("language").count().collect()}
+    if not counts:
+        return {}, {}
+    spare = each + 8 * math.isqrt(each) + 20  # that fewer than `each` are found among so many expected has a chance of 1e-14
+    below = F.create_map(*(F.lit(x) for language, n in counts.items() for x in (language, math.ceil(min(1.0, spare / n) * (1 << 62)))))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    near = labelled.where((place <= F.element_at(below, F.col("language"))) & (F.length("text") > 0))
+    order = Window.partitionBy("language").orderBy((F.length("text") <= LONG), place, "doc_id", "text")
+    chosen = near.withColumn("text", F.substring("text", 1, SAMPLE_CHARACTERS)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
     out: dict[str, list[str]] = {}
     seen = set()
-    for r in sorted(texts, key=lambda r: (r.doc_id, r.text or "")):
-        if r.text and r.doc_id not in seen:
+    rows = chosen.select("language", "doc_id", "text").collect()
+    long = {r.language for r in rows if len(r.text) > LONG}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
+        if r.doc_id not in seen and (len(r.text) > LONG or r.language not in long):
             seen.add(r.doc_id)
-            out.setdefault(languages[r.doc_id], []).append(r.text)
+            out.setdefault(r.language, []).append(r.text)
     return out, counts
 
 

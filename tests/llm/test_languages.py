@@ -60,6 +60,40 @@ def test_long_paragraphs(fitted):
     assert [(s, x) for s, x, _ in fitted.segments(text(rng, "en", 1) + "\n\n" + french + "\n\n" + text(rng, "de", 1))] == [(0, "fr"), (1, "en"), (3, "de")]
 
 
+def test_signs_that_begin_no_markup_are_text(fitted):
+    rng = random.Random(7)
+    words = lambda x, n=14: " ".join(rng.choice(WORDS[x]) for _ in range(n))
+    for plain in (f"{words('en')} x < 5 {words('en')}", f"$5 {words('en')} $6", f"{words('en')} <3 {words('en')} > 2", f"{words('en')} [[{words('en')}]]"):
+        assert languages.running_text(plain) == plain and fitted.segments(plain)[0][:2] == (0, "en")
+    for formula in ("$x^2 + y$", "$$\\frac{a}{b}$$", "<math><mi>v</mi></math>", "[[FORMULA-012]]", '<a href="x y">', "<mi", "$ 5 $"):
+        kept = languages.running_text(f"{words('de')} {formula} {words('de')}")
+        assert not any(c in kept for c in "<>[]{}^\\")
+        assert fitted.segments(f"{formula}\n\n{formula} {formula}") == []
+    assert languages.running_text(f"{words('de')} $$\\sum_{{k=1}}^{{35}} v_k").endswith("  ")
+
+
+def test_scripts_of_no_known_language_are_rejected(fitted):
+    greek = "η συσκευή του οποίου το περίβλημα και η αντλία κινεί τη βαλβίδα υπό πίεση εντός του αισθητήρα και περιορίζει την ψύξη μεταξύ των δύο πλευρών".split()
+    thai = "อุปกรณ์ของตัวเรือนและปั๊มซึ่งขับเคลื่อนวาล์วภายใต้ความดันภายในเซ็นเซอร์"
+    rng = random.Random(8)
+    for n in (12, 60, 600, 5_000):
+        assert fitted.segments(" ".join(rng.choice(greek) for _ in range(n))) == []
+    assert fitted.segments(thai * 3) == []
+    alone = languages.fit({"ru": [text(rng, "ru") for _ in range(20)]})
+    assert [(s, x) for s, x, _ in alone.segments(text(rng, "ru"))] == [(0, "ru")] and 0 < alone.judge(text(rng, "ru", 1))[1] < 1
+    assert alone.segments(" ".join(greek)) == [] and alone.segments(text(rng, "en")) == []
+    mixed = text(rng, "ru", 2) + "\n\n" + " ".join(greek)
+    assert [(s, x) for s, x, _ in fitted.segments(mixed)] == [(0, "ru")]
+
+
+def test_a_corpus_of_short_texts(spark):
+    rng = random.Random(9)
+    short = lambda x: " ".join(rng.choice(WORDS[x]) for _ in range(14))[:100]
+    rows = [(i, short(x), x if i % 9 else None) for i, x in enumerate(list(WORDS) * 60)]
+    got = {(r.doc_id, r.segment): r.lang for r in languages.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert sum(got.get((i, 0)) == list(WORDS)[i % 4] for i, _, _ in rows) >= 0.95 * len(rows)
+
+
 def test_documents_of_short_paragraphs_have_a_language(fitted):
     for x, short in (("en", "The device\n\nwith the valve\n\nunder pressure"), ("de", "Die Vorrichtung\n\n<b>mit</b> Gehäuse"), ("fr", "le dispositif\n\n12 34\n\navec boîtier"), ("ru", "давлением")):
         found = fitted.segments(short)
@@ -77,7 +111,7 @@ def test_languages_of_one_document_or_of_short_documents(spark):
     assert all(len(t) <= 200 for i, t, _ in rows if 100 <= i < 300)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     texts, counts = languages.sample(docs)
-    assert counts == {"en": 12, "de": 12, "fr": 30} and {x: len(t) for x, t in texts.items()} == counts
+    assert counts == {"en": 12, "de": 17, "fr": 30} and {x: len(t) for x, t in texts.items()} == {"en": 12, "de": 12, "fr": 30}
     got = {(r.doc_id, r.segment): r.lang for r in languages.identify(docs).collect()}
     assert got[300, 0] == "fr" and all(got[i, 0] == "fr" for i in range(100, 130))
 
