@@ -36,17 +36,22 @@ LARGE = 1_000
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """(key_value, n_rows) of the trimmed, non-blank keys that hold at least `share` of all rows."""
     keys = columns(df, key).select(stripped_or_null(F.col(key)).alias("key_value"))
-    least = max(1, math.ceil(keys.count() * share - 1e-9))
     hashed = F.shiftrightunsigned(F.xxhash64("key_value"), 64 - BITS)
-    cell = lambda bits: F.shiftrightunsigned(hashed, BITS - bits)
-    bits, open_, resolved = 0, [0], []
-    while open_ and bits < BITS:
-        within = F.col("key_value").isNotNull() & (cell(bits).isin(open_) if bits else F.lit(True))
+
+    def histogram(rows: DataFrame, bits: int) -> DataFrame:
+        cell = F.when(F.col("key_value").isNotNull(), F.shiftrightunsigned(hashed, BITS - bits)).alias("cell")
+        return rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+
+    bits = ROUND_BITS
+    counted = histogram(keys, bits).collect()  # at most 2 ** ROUND_BITS + 1 rows
+    least = max(1, math.ceil(sum(r.n for r in counted) * share - 1e-9))
+    kept = [r for r in counted if r.cell is not None and r.n >= least]
+    resolved = [r.least for r in kept if r.least == r.most]
+    while open_ := [r.cell for r in kept if r.least != r.most]:
+        within = F.col("key_value").isNotNull() & F.shiftrightunsigned(hashed, BITS - bits).isin(open_)
         bits += ROUND_BITS
-        histogram = keys.where(within).groupBy(cell(bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
-        kept = histogram.where(F.col("n") >= least).collect()  # at most 1 / share rows
+        kept = histogram(keys.where(within), bits).where(F.col("n") >= least).collect()  # at most 1 / share rows
         resolved += [r.least for r in kept if r.least == r.most]
-        open_ = [r.cell for r in kept if r.least != r.most]
     refined = keys.where(F.col("key_value").isNotNull() & hashed.isin(resolved)) if resolved else keys.limit(0)
     return refined.groupBy("key_value").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
 
