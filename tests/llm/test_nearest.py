@@ -7,8 +7,8 @@ import pytest
 from quern.llm.nearest import pair_nearest
 
 
-@pytest.mark.parametrize("seed,tolerance", [(1, 7), (2, 0), (3, 100)])
-def test_against_all_pairs(spark, seed, tolerance):
+@pytest.mark.parametrize("seed,tolerance,hot", [(1, 7, 256), (2, 0, 256), (3, 100, 256), (1, 7, 0), (3, 100, 4), (2, 0, 0), (4, 3_000, 30)])
+def test_against_all_pairs(spark, seed, tolerance, hot):
     rng = random.Random(seed)
     left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-60, 60)]), i) for i in range(200)]
     right = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(-90, 90, 3)]), i) for i in range(120)]
@@ -20,11 +20,16 @@ def test_against_all_pairs(spark, seed, tolerance):
         near = [(abs(t - u), k) for f, u, k in right if e is not None and e == f and t is not None and u is not None and abs(t - u) <= tolerance]
         if near:
             want.append((i, min(near)[1], min(near)[0]))
-    assert sorted(map(tuple, pair_nearest(a, b, tolerance).collect())) == sorted(want)
-    assert pair_nearest(a.limit(0), b, tolerance).collect() == [] and pair_nearest(a, b.limit(0), tolerance).collect() == []
+    assert sorted(map(tuple, pair_nearest(a, b, tolerance, hot).collect())) == sorted(want)
+    assert pair_nearest(a.limit(0), b, tolerance, hot).collect() == [] and pair_nearest(a, b.limit(0), tolerance, hot).collect() == []
 
 
-def test_the_plan_forms_no_pairs(spark):
-    a = spark.createDataFrame([("a", 1, 1)], "entity string, at bigint, left_key int")
-    b = spark.createDataFrame([("a", 1, 1)], "entity string, at bigint, right_key int")
-    assert "Join" not in pair_nearest(a, b, 5)._jdf.queryExecution().executedPlan().toString()
+def test_lists_are_bounded_and_left_records_meet_one_row(spark):
+    crowd = [("a", i, i) for i in range(400)]
+    a = spark.createDataFrame([("a", i, i) for i in range(0, 400, 7)] + [("b", 3, 999)], "entity string, at bigint, left_key int")
+    b = spark.createDataFrame(crowd + [("b", 1, 1), ("b", 5, 2), ("b", 5, 0)], "entity string, at bigint, right_key int")
+    got = pair_nearest(a, b, 100, hot=50)
+    assert sorted(map(tuple, got.collect())) == [*((i, i, 0) for i in range(0, 400, 7)), (999, 0, 2)]
+    lists = spark.createDataFrame([("b", 1, 1), ("b", 5, 2)], "entity string, at bigint, right_key int")
+    plan = pair_nearest(a, lists, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Generate" in plan and "collect_list" in plan
