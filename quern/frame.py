@@ -20,7 +20,11 @@ from .functions.opaque import Op
 from .keys import function_name, key_name, parse_keys
 from .types import ColumnType, column_type, text
 
-_STATE = {"debug": False}
+_STATE = {"debug": False, "data": False}
+#: Source rows that the check of data runs through a frame.
+CHECKED_ROWS = 100
+#: A source may have one more column that tells the place of each row in it.
+PLACE = "__place"
 
 
 def enable_debug() -> None:
@@ -32,6 +36,11 @@ def disable_debug() -> None:
     _STATE["debug"] = False
 
 
+def check_data(on: bool = True) -> None:
+    """Whether each call that changes a frame also runs the first CHECKED_ROWS source rows through it, strictly: a cell that fails is an error at once. Off at first, as each check is a job."""
+    _STATE["data"] = on
+
+
 def _call(fn: Callable, strict: bool, *columns: Column) -> Column:
     if isinstance(fn, Op):
         return (fn.strict if strict else fn.lenient)(*columns)
@@ -65,20 +74,27 @@ class Frame:
     order: tuple[tuple[str, bool], ...] = ()
     nulls: str = "sql"
     path: str | None = None
+    most: int | None = None  # rows of the result
+    placed: DataFrame | None = None  # the source with PLACE
+    sep: str | None = None  # of the source, if it is delimited text
+    output: Callable[[list[Column]], Column] | None = None  # the source's own writer
+    size: int | None = None  # bytes of the source, as it states them itself
 
     # ------------------------------------------------------------ building
 
     @staticmethod
-    def over(df: DataFrame, names: list[str] | None = None, path: str | None = None) -> Frame:
+    def over(df: DataFrame, names: list[str] | None = None, path: str | None = None, **more) -> Frame:
         names = list(df.columns if names is None else names)
         plain = df.toDF(*(f"_{i}" for i in range(len(names))))
-        return Frame(plain, tuple(names), {n: _Output((i,)) for i, n in enumerate(names)}, path=path)
+        return Frame(plain, tuple(names), {n: _Output((i,)) for i, n in enumerate(names)}, path=path, **more)
 
     def _checked(self, **changes) -> Frame:
         new = replace(self, **changes)
         if not _STATE["debug"]:
             try:
                 new.to_df()
+                if _STATE["data"]:
+                    new.to_df(strict=True, df=new.source.limit(CHECKED_ROWS)).collect()
             except OperationError:
                 raise
             except Exception as e:
@@ -195,6 +211,17 @@ class Frame:
             raise OperationError(f"no columns {missing}")
         return self._checked(order=tuple((c, s == "+") for s, c in zip(order[::2], order[1::2], strict=True)))
 
+    def limit(self, n: int) -> Frame:
+        """At most n rows of the result; without sort, whichever come first."""
+        if n < 0:
+            raise OperationError("the number of rows can't be negative")
+        return self._checked(most=n if self.most is None else min(n, self.most))
+
+    def head(self, n: int = 10) -> list[dict]:
+        """The first n rows of the result."""
+        names = self.get_col_names()
+        return [dict(zip(names, r, strict=True)) for r in self.limit(n).to_df().collect()]
+
     # ------------------------------------------------------------ compiling
 
     def get_col_names(self) -> list[str]:
@@ -213,7 +240,7 @@ class Frame:
 
     def _scan(self, strict: bool, df: DataFrame | None = None) -> tuple[DataFrame, list[Column]]:
         df = self.source if df is None else df
-        typed = df.select(*((self.parsers[i](F.col(c), strict) if i in self.parsers else F.col(c)).alias(c) for i, c in enumerate(self.source.columns)))
+        typed = df.select(*((self.parsers[i](F.col(c), strict) if i in self.parsers else F.col(c)).alias(c) for i, c in enumerate(self.source.columns)), *(c for c in df.columns if c == PLACE))
         parsed = [F.col(c) for c in self.source.columns]
         for predicate, parts in self.filters:
             given = [parsed[p] if isinstance(p, int) else self._value(p, parsed, strict) for p in parts]
@@ -223,7 +250,7 @@ class Frame:
     def rows(self, strict: bool = False, df: DataFrame | None = None) -> DataFrame:
         """The row pipeline with every column of the frame, typed, under positional names c0, c1, ..."""
         typed, parsed = self._scan(strict, df)
-        return typed.select(*(self._value(n, parsed, strict).alias(f"c{i}") for i, n in enumerate(self.names)))
+        return typed.select(*(self._value(n, parsed, strict).alias(f"c{i}") for i, n in enumerate(self.names)), *(c for c in typed.columns if c == PLACE))
 
     def _working(self, strict: bool, df: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
         """Rows with just what grouping and aggregates need: keys k0.., values v0.."""
@@ -271,13 +298,24 @@ class Frame:
         """The frame's plan: typed columns, or (formatted) text."""
         out = self._grouped(strict, df) if self.keys or self.aggs else self.rows(strict, df)
         names = self.get_col_names()
+        if PLACE in out.columns and not self.order:
+            out = out.orderBy(PLACE)
+        out = out.drop(PLACE)
         if self.order:
             places = {n: c for n, c in zip(names, out.columns, strict=True)}
             out = out.orderBy(*(F.col(places[c]).asc() if up else F.col(places[c]).desc() for c, up in self.order))
+        if self.most is not None:
+            out = out.limit(self.most)
         if formatted:
             out = out.select(*(_shown(show, out, c) for show, c in zip(self._shows(), out.columns, strict=True)))
         return out.toDF(*names)
 
+    def in_source_order(self, strict: bool = False, formatted: bool = False) -> DataFrame:
+        """As to_df, rows in the order of the source. A scan of files doesn't keep it: splits are packed by size."""
+        if self.keys or self.aggs or self.placed is None:
+            return self.to_df(strict, formatted)
+        return self.to_df(strict, formatted, self.placed)
+
     # ------------------------------------------------------------ results
 
     def preview(self, sample_size: int = 1000, return_size: int = 10, formatted: bool = False) -> list[dict]:
@@ -347,4 +385,4 @@ def _table(names: list[str], kinds: list[str], rows: list[list], most: int) -> s
     return out
 
 
-__all__ = ["Frame", "disable_debug", "enable_debug", "function_name"]
+__all__ = ["Frame", "check_data", "disable_debug", "enable_debug", "function_name"]

@@ -58,15 +58,29 @@ def udf(fn: Callable, returns: str, name: str | None = None) -> Op:
 
 
 def vector(fn: Callable[..., pd.Series], returns: str, name: str | None = None) -> Op:
-    """A Python function of whole pandas series, one per column."""
+    """A Python function of whole pandas series, one per column. In the lenient form a batch that fails is done row by row, so that just its failing cells are null."""
 
-    def run(*series: pd.Series) -> pd.Series:
-        return fn(*series)
+    def batch(strict: bool):
+        def run(*series: pd.Series) -> pd.Series:
+            try:
+                return fn(*series)
+            except Exception:
+                if strict:
+                    raise
+            out = []
+            for i in range(len(series[0])):
+                try:
+                    out.append(fn(*(s.iloc[i : i + 1].reset_index(drop=True) for s in series)).iloc[0])
+                except Exception:
+                    out.append(None)
+            return pd.Series(out, dtype=object)
 
-    def call(*columns: Column) -> Column:
-        return F.pandas_udf(run, returns)(*columns)
+        def call(*columns: Column) -> Column:
+            return F.pandas_udf(run, returns)(*columns)
 
-    return Op(name or getattr(fn, "__name__", "fn"), call, call)
+        return call
+
+    return Op(name or getattr(fn, "__name__", "fn"), batch(False), batch(True))
 
 
 def group_udf(fn: Callable[[list], object], returns: str, many: bool = False, name: str | None = None) -> Aggregate:
@@ -127,6 +141,11 @@ def concat(*columns: Column) -> Column:
     return F.concat_ws("", *(c.cast("string") for c in columns))
 
 
+def pair(a: Column, b: Column) -> Column:
+    """Two values as one cell; as text a list of both."""
+    return F.array(a.cast("string"), b.cast("string"))
+
+
 def negate(c: Column) -> Column:
     return -c
 

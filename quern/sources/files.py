@@ -1,4 +1,4 @@
-"""Sources of frames: delimited text, Parquet and JSON files, Spark and pandas frames, rows and generators.
+"""Sources of frames: delimited text, Parquet, ORC and JSON files, sheets, Spark and pandas frames, rows and generators.
 
 Cells of delimited text are strings, an empty cell the empty string; a short row's missing cells are empty, extra cells are
 left out. Duplicate names get the suffixes 1, 2, ... on every occurrence, with a warning.
@@ -9,13 +9,19 @@ from __future__ import annotations
 import warnings
 from collections import Counter
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OperationError
-from ..frame import Frame
+from ..frame import PLACE, Frame
+
+
+def ending_of(path: str | None) -> str:
+    name = (path or "").rstrip("/").rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
 def repair_names(names: list[str]) -> list[str]:
@@ -48,7 +54,13 @@ def read_text(path: str, if_header: bool = True, sep: str = ",", multi_line: boo
     names = repair_names([v or "" for v in first[0]]) if if_header else [f"Col_{i + 1}" for i in range(len(first[0]))]
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
     df = spark.read.options(**options, header=if_header, enforceSchema=True).schema(schema).csv(path)
-    return Frame.over(df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in df.columns)), names, path)
+    return _over_files(df, [F.coalesce(c, F.lit("")).alias(c) for c in df.columns], names, path, sep=sep)
+
+
+def _over_files(df: DataFrame, cells: list, names: list[str], path: str, **more) -> Frame:
+    """A frame over files. A row's place is that of its file, of its split in the file and of the row in the split."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias(PLACE)
+    return Frame.over(df.select(*cells), names, path, placed=df.select(*cells, place).toDF(*(f"_{i}" for i in range(len(names))), PLACE), **more)
 
 
 def from_rows(rows: Iterable | Callable[[], Iterable], names: list[str] | None = None, if_header: bool = True, types: str | list[str] = "string", spark: SparkSession | None = None) -> Frame:
@@ -86,16 +98,37 @@ def from_rows(rows: Iterable | Callable[[], Iterable], names: list[str] | None =
     return Frame.over(spark.range(0, 1, 1, 1).mapInPandas(produce, schema), names)
 
 
+@dataclass(frozen=True)
+class Source:
+    """A user's own source: what reads it and what writes rows like it. rows: rows, a function that gives them, or a Spark frame; output: a row of text cells to a line;
+    size: bytes, if known; path: where it lies, if anywhere (its ending is that of outputs that are written by `output`)."""
+
+    rows: object
+    output: Callable | None = None
+    size: int | None = None
+    path: str | None = None
+    sep: str | None = None
+
+
 def dataframe(source, if_header: bool = True, sep: str | None = None, spark: SparkSession | None = None, **options) -> Frame:
-    """A frame over a path (by its ending: .parquet, .json, else delimited text), a Spark or pandas frame, rows, or a function that gives rows."""
+    """A frame over a path (by its ending: .parquet, .orc, .json, .xlsx, else delimited text), a Spark or pandas frame, rows, a function that gives rows, or a Source."""
     if isinstance(source, Frame):
         return source
+    if isinstance(source, Source):
+        made = dataframe(source.rows, if_header, sep, spark, **options)
+        return replace(made, path=source.path or made.path, output=source.output, size=source.size if source.size is not None else made.size, sep=source.sep or made.sep)
     if isinstance(source, DataFrame):
         return Frame.over(source)
     if isinstance(source, str):
-        ending = source.rstrip("/").rsplit(".", 1)[-1].lower()
+        ending = ending_of(source)
         if ending in ("parquet", "json", "orc"):
-            return Frame.over(_session(spark).read.format(ending).load(source), path=source)
+            df = _session(spark).read.format(ending).load(source)
+            plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+            return _over_files(plain, list(plain.columns), df.columns, source)
+        if ending == "xlsx":
+            from .sheets import read_sheets
+
+            return read_sheets(source, if_header, _session(spark))
         return read_text(source, if_header, sep or ("\t" if ending == "tsv" else ","), spark=spark, **options)
     if hasattr(source, "to_dict") and hasattr(source, "columns"):  # pandas
         return Frame.over(_session(spark).createDataFrame(source))
@@ -103,7 +136,9 @@ def dataframe(source, if_header: bool = True, sep: str | None = None, spark: Spa
 
 
 def size_in_bytes(frame: Frame) -> int | None:
-    """Bytes of the frame's files, as the file system states them; null for other sources."""
+    """Bytes of the frame's files, as its source or the file system states them; null for other sources."""
+    if frame.size is not None:
+        return frame.size
     if frame.path is None:
         return None
     spark = frame.source.sparkSession

@@ -8,12 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import OperationError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine), one of our own."""
+    """The folder of spark.checkpoint.dir; only where that is unset and all is one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise OperationError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     own = spark.conf.get("quern.checkpoint.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="quern-")

@@ -1,7 +1,9 @@
 """Results of frames: one text file, a folder of files, or rows in memory.
 
-A single file is computed in parallel: every task writes its part, and the parts are put one after the other, in the order of the plan's
-partitions, behind the header. So a plan without shuffle keeps the source's order. With partitioned=True the parts stay as they are.
+The format is that of the path's ending: .parquet, .orc and .json are folders of typed columns, all else is text, delimited as the source is if its path ends alike, by tabs for .tsv, else by commas.
+A single text file is computed in parallel: every task writes its part, and the parts are put one after the other, in the order of the plan's
+partitions, behind the header; the file system joins them itself where it can. Where it can't, the driver copies up to COPIED bytes; a greater result stays a folder of parts
+at the path, as with partitioned=True. Either is read as the same frame.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from pyspark.sql import functions as F
 from ..errors import OperationError
 
 
+#: Bytes that the driver copies into a single file at most, if the file system can't join files.
+COPIED = 1 << 30
+_TYPED = ("parquet", "orc", "json")
+
+
 def _chosen(names: list[str], select, exclude) -> list[int]:
     if select is not None and exclude is not None:
         raise OperationError("either select or exclude can be given")
@@ -54,21 +61,29 @@ def compute(
     header: bool | list[str] = True,
     melt: Callable[[list], list] | None = None,
     output: Callable[[list[Column]], Column] | None = None,
-    sep: str = ",",
+    sep: str | None = None,
     workers: int | None = None,
     in_memory: bool = False,
     partitioned: bool = False,
 ):
-    """exception: a failing cell ends the job instead of being null. order: rows in the source's order (plans without shuffle keep it anyway; grouped and joined results have none, as they have no source rows). header: names, or whether they are
-    written. melt: a row of text to rows. output: the row as one text column, instead of a delimited line. workers: at most so many tasks
-    write. in_memory is accepted and without effect (Spark decides). Without path: a list of rows of text, header first."""
+    """exception: a failing cell ends the job instead of being null. order: rows in the source's order, by their places in its files (sources that aren't files keep the order of their partitions; grouped and joined results have none, as they have no source rows). header: names, or whether they are
+    written. melt: a row of text to rows. output: the row as one text column, instead of a delimited line; a source's own writer is taken for paths that end as its own does. sep: instead of the delimiter
+    that the path's ending gives. workers: at most so many tasks write; without effect on an ordered result. in_memory is accepted and without effect (Spark decides). Without path: a list of rows of text, header first."""
     from ..frame import Frame
+    from .files import dataframe, ending_of
 
     names = frame.get_col_names()
     places = _chosen(names, select, exclude)
     if path is not None and frame_paths(frame) & {_full(frame, path)}:
         raise OperationError(f"{path} is an input of this computation")
-    df = frame.to_df(strict=exception, formatted=True)
+    ending, kept = ending_of(path), isinstance(frame, Frame) and ending_of(frame.path)
+    typed = path is not None and ending in _TYPED and output is None
+    ordered = isinstance(frame, Frame) and (order or bool(frame.order))
+    if isinstance(frame, Frame) and ending == kept and output is None and frame.output is not None:
+        output = frame.output
+    if sep is None:
+        sep = frame.sep if isinstance(frame, Frame) and ending == kept and frame.sep else "\t" if ending == "tsv" else ","
+    df = frame.in_source_order(exception, not typed) if ordered else frame.to_df(strict=exception, formatted=not typed)
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     plain = plain.select(*(f"c{i}" for i in places))
     titles = [names[i] for i in places]
@@ -84,8 +99,11 @@ def compute(
     if path is None:
         rows = [list(r) for r in plain.collect()]
         return [titles, *rows] if header is not False else rows
-    if workers:
+    if workers and not ordered:
         plain = plain.coalesce(workers)
+    if typed:
+        plain.toDF(*titles).write.format(ending).mode("overwrite").save(path)
+        return dataframe(path, spark=df.sparkSession)
     first = None if header is False else titles
     line = output([F.col(c) for c in plain.columns]) if output else F.to_csv(F.struct(*plain.columns), {"sep": sep, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     write_lines(plain.select(F.coalesce(line, F.lit("")).alias("value")), path, None if first is None else _line(first, sep), partitioned)
@@ -125,47 +143,65 @@ def _full(frame, path: str) -> str:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None, partitioned: bool = False) -> None:
+def _headed(lines: DataFrame, header: str | None) -> DataFrame:
+    """The lines with the header before the first one of each partition."""
+    if header is None:
+        return lines
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return lines.select("value", first.alias("first")).select(F.explode(F.when(F.col("first"), F.array(F.lit(header), "value")).otherwise(F.array("value"))).alias("value"))
+
+
+def _joins(fs, path) -> bool:
+    """Whether the file system puts files together itself, so that none of their bytes is read."""
+    return fs.hasPathCapability(path, "fs.capability.paths.concat")
+
+
+def write_lines(lines: DataFrame, path: str, header: str | None, partitioned: bool = False, copied: int = COPIED) -> None:
     """Lines to one file (parts written in parallel, then joined in order) or to a folder of parts, each with the header."""
     spark = lines.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    new = jvm.org.apache.hadoop.fs.Path
+    target = new(path)
     fs = target.getFileSystem(conf)
-    if partitioned:
-        if header is None:
-            lines.write.mode("overwrite").text(path)
-        else:
-            headed = lines.mapInPandas(_headed(header), "value string")
-            headed.write.mode("overwrite").text(path)
-        return
+    head = b"" if header is None else (header + "\n").encode()
     parent = target.getParent()
-    scratch = jvm.org.apache.hadoop.fs.Path(parent, f".quern-{uuid.uuid4().hex}") if parent else jvm.org.apache.hadoop.fs.Path(f".quern-{uuid.uuid4().hex}")
-    joined = jvm.org.apache.hadoop.fs.Path(scratch, "joined")
+    scratch = new(parent, f".quern-{uuid.uuid4().hex}") if parent else new(f".quern-{uuid.uuid4().hex}")
+    folder, joined = new(scratch, "parts"), new(scratch, "joined")
+
+    def create(at, content: bytes):
+        out = fs.create(at, True)
+        if content:
+            out.write(bytearray(content))
+        return out
+
     try:
-        lines.write.text(scratch.toString() + "/parts")
-        parts = sorted(s.getPath().toString() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(scratch, "parts")) if s.getPath().getName().startswith("part-"))
-        out = fs.create(joined, True)
-        try:
-            if header is not None:
-                out.write(bytearray((header + "\n").encode()))
-            for part in parts:
-                data = fs.open(jvm.org.apache.hadoop.fs.Path(part))
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
-                data.close()
-        finally:
-            out.close()
+        itself = not partitioned and _joins(fs, folder)
+        (lines if itself else _headed(lines, header)).write.text(folder.toString())
+        parts = sorted((f.getPath().toString(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        parts = [(new(p), n) for p, n in parts if n]
+        if itself:
+            create(joined, head).close()
+            several = spark.sparkContext._gateway.new_array(new, len(parts))
+            for i, (p, _) in enumerate(parts):
+                several[i] = p
+            if parts:
+                fs.concat(joined, several)
+        elif partitioned or sum(n for _, n in parts) > copied:
+            if head and not parts:
+                create(new(folder, "part-header"), head).close()
+            joined = folder
+        else:
+            out = create(joined, head)
+            try:
+                for p, _ in parts:
+                    data = fs.open(p)
+                    data.seek(len(head))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
+                    data.close()
+            finally:
+                out.close()
         fs.delete(target, True)
         if not fs.rename(joined, target):
             raise OSError(f"can't write {path}")
     finally:
         fs.delete(scratch, True)
-
-
-def _headed(header: str):
-    def run(batches):
-        import pandas as pd
-
-        yield pd.DataFrame({"value": [header]})
-        yield from batches
-
-    return run

@@ -52,15 +52,55 @@ def test_renaming_keeps_filters_and_names_may_differ_in_case_only(spark, tmp_pat
         f.select_col([])
 
 
-def test_lenient_and_strict(spark):
+def test_lenient(spark):
     f = small(spark, [("1", 0), ("x", 2), ("", 1)], "a string, b int").set_type("a", "int").operate(opaque.divide, ["a", "b"], "c")
     assert rows(f) == [(1, 0, None), (None, 1, None), (None, 2, None)]
-    with pytest.raises(Exception, match="not an int"):
+    g = small(spark, [("1",), ("x",)], "a string")
+    assert rows(g.operate(opaque.udf(lambda s: int(s), "int"), "a")) == [(1,), (None,)]
+    assert rows(g.operate(opaque.vector(lambda s: s.astype(int), "int"), "a")) == [(1,), (None,)]  # just the cell that fails
+
+
+@pytest.mark.parametrize(
+    "row,error",
+    [(("x", 2), "not an int"), (("1", 0), "DIVIDE_BY_ZERO"), (("1", 7), "too far"), (("1", 8), "no series")],
+)
+def test_strict(spark, row, error):
+    def far(a, b):
+        if b == 7:
+            raise ValueError("too far")
+        return a
+
+    def whole(a, b):
+        if (b == 8).any():
+            raise ValueError("no series")
+        return a
+
+    f = small(spark, [row], "a string, b int").set_type("a", "int").operate(opaque.divide, ["a", "b"], "c")
+    f = f.operate(opaque.udf(far, "int"), ["a", "b"], "d").operate(opaque.vector(whole, "int"), ["a", "b"], "e")
+    assert f.to_df().count() == 1
+    with pytest.raises(Exception, match=error):
         f.to_df(strict=True).collect()
-    g = small(spark, [("1",), ("x",)], "a string").operate(opaque.udf(lambda s: int(s), "int"), "a")
-    assert rows(g) == [(1,), (None,)]
-    with pytest.raises(Exception, match="invalid literal"):
-        g.to_df(strict=True).collect()
+
+
+def test_data_is_checked_on_demand(spark):
+    f = small(spark, [("1",), ("x",)], "a string")
+    assert f.set_type("a", "int").get_col_names() == ["a"]
+    q.check_data()
+    try:
+        with pytest.raises(q.OperationError, match="not an int"):
+            f.set_type("a", "int")
+        with pytest.raises(q.OperationError):
+            f.operate(opaque.udf(lambda v: int(v), "int"), "a")
+        assert rows(f.operate(opaque.udf(lambda v: v + "!", "string"), "a")) == [("1!",), ("x!",)]
+    finally:
+        q.check_data(False)
+
+
+def test_limit_and_head(spark):
+    f = small(spark, [(i,) for i in range(20)], "a int").sort(["-", "a"])
+    assert f.head(3) == [{"a": 19}, {"a": 18}, {"a": 17}] and len(rows(f.limit(5).limit(9))) == 5 and rows(f.limit(0)) == []
+    with pytest.raises(q.OperationError):
+        f.limit(-1)
 
 
 def test_types_and_formatters(spark):
@@ -252,6 +292,114 @@ def test_sinks(spark, employees, tmp_path):
         q.inner_join(f, f, "Employee", "Employee").compute(employees)
 
 
+def test_formats_of_outputs(spark, tmp_path):
+    p = tmp_path / "in.csv"
+    p.write_text("a;b\n1;x\n2;y,z\n")
+    f = q.dataframe(str(p), sep=";").set_type("a", "int")
+    f.compute(str(tmp_path / "o.csv"))
+    assert (tmp_path / "o.csv").read_text() == "a;b\n1;x\n2;y,z\n"  # as the source
+    tsv = f.compute(str(tmp_path / "o.tsv"))
+    assert (tmp_path / "o.tsv").read_text() == "a\tb\n1\tx\n2\ty,z\n" and rows(tsv) == [("1", "x"), ("2", "y,z")]
+    f.compute(str(tmp_path / "o.txt"))
+    assert (tmp_path / "o.txt").read_text() == 'a,b\n1,x\n2,"y,z"\n'
+    for ending in ("parquet", "orc", "json"):
+        back = f.compute(str(tmp_path / f"o.{ending}"), header=["n", "t"])
+        assert dict(back.to_df().dtypes) == {"n": "bigint" if ending == "json" else "int", "t": "string"} and rows(back) == [(1, "x"), (2, "y,z")]
+
+
+def test_sources_of_the_user(spark, tmp_path):
+    source = q.Source(lambda: iter([["a", "b"], [1, 2], [3, 4]]), output=lambda cells: F.concat_ws("/", *cells), size=99, path=str(tmp_path / "own.mine"))
+    f = q.dataframe(source)
+    assert rows(f) == [("1", "2"), ("3", "4")] and q.size_in_bytes(f) == 99
+    f.compute(str(tmp_path / "o.mine"), header=False)
+    assert (tmp_path / "o.mine").read_text() == "1/2\n3/4\n"
+    f.compute(str(tmp_path / "o.csv"), header=False)
+    assert (tmp_path / "o.csv").read_text() == "1,2\n3,4\n"
+    with pytest.raises(q.OperationError):
+        f.compute(str(tmp_path / "own.mine"))
+    assert rows(q.dataframe(q.Source(spark.range(2)))) == [(0,), (1,)]
+
+
+def test_order_of_the_source(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for k in range(6):  # the later the file the larger, so that Spark reads it sooner
+        lines = [f"{k}-{i}" for i in range(10 ** min(k, 4))]
+        (folder / f"{k}.csv").write_text("a\n" + "\n".join(lines) + "\n")
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        f = q.dataframe(str(folder)).filter("a", lambda c: c != "3-7")
+        want.remove("3-7")
+        plain = [r[0] for r in f.to_df().collect()]
+        out = tmp_path / "o.csv"
+        f.compute(str(out), order=True, workers=2)
+        assert plain != want and sorted(plain) == sorted(want) and out.read_text().split("\n") == ["a", *want, ""]
+        assert f.compute(order=True, header=False) == [[w] for w in want]
+        f.sort(["-", "a"]).limit(3).compute(str(out), workers=1)
+        assert out.read_text().split() == ["a", "5-9999", "5-9998", "5-9997"]
+        assert f.get_col_names() == ["a"] and f.operate(opaque.concat, ["a"], "b").in_source_order().columns == ["a", "b"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_results_stay_parts_and_file_systems_may_join(spark, tmp_path, monkeypatch):
+    from quern.sources import sinks
+
+    lines = spark.range(0, 9, 1, 3).selectExpr("concat('v', id) as value")
+    sinks.write_lines(lines, str(tmp_path / "o"), "h", copied=3)
+    assert sorted(x for p in (tmp_path / "o").glob("part-*") for x in p.read_text().split()) == ["h"] * 3 + [f"v{i}" for i in range(9)]
+    assert sorted(rows(q.dataframe(str(tmp_path / "o")))) == [(f"v{i}",) for i in range(9)]
+    sinks.write_lines(lines, str(tmp_path / "o"), "h")
+    assert (tmp_path / "o").read_text().split() == ["h", *(f"v{i}" for i in range(9))]
+    sinks.write_lines(lines.limit(0), str(tmp_path / "e"), "h", partitioned=True)
+    assert q.dataframe(str(tmp_path / "e")).get_col_names() == ["h"] and rows(q.dataframe(str(tmp_path / "e"))) == []
+    with pytest.raises(Exception, match="Concat"):  # joining is left to the file system where it says that it can
+        monkeypatch.setattr(sinks, "_joins", lambda fs, path: True)
+        sinks.write_lines(lines, str(tmp_path / "c"), None)
+    assert not (tmp_path / "c").exists()
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quern.sources.shared import shared_folder
+
+    def session(master, **conf):
+        get = lambda k, default=None: conf.get(k.replace(".", "_"), default)
+        return SimpleNamespace(conf=SimpleNamespace(get=get, set=lambda *_: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=get)))
+
+    assert shared_folder(session("spark://host:7077", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]")).startswith("file:")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(q.OperationError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+
+
+def test_sheets(spark, tmp_path):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def sheet(name, body):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="x" sheetId="1" r:id="rId7"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>An</t></r><r><t>na</t></r></si></sst>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+
+    sheet("a.xlsx", '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c><c r="C1" t="str"><v>ok</v></c></row>'
+          '<row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>1.5</v></c><c r="C2" t="b"><v>1</v></c></row><row><c r="C3" t="b"><v>0</v></c></row>')
+    f = q.dataframe(str(tmp_path / "a.xlsx"))
+    assert f.get_col_names() == ["name", "n", "ok"] and rows(f) == [("", "", "FALSE"), ("Anna", "1.5", "TRUE")]
+    assert rows(f.set_type("n", "double").filter("n", lambda c: c > 1).select_col("n")) == [(1.5,)]
+    assert len(rows(q.dataframe(str(tmp_path / "a.xlsx"), if_header=False))) == 3
+    sheet("b.xlsx", "")
+    with pytest.raises(q.OperationError):
+        q.dataframe(str(tmp_path / "b.xlsx"))
+
+
 def test_cells_that_need_quotes_come_back(spark, tmp_path):
     out = str(tmp_path / "o.csv")
     data = [("a,b", 'say "hi"'), ("", None), (" x ", "y")]
