@@ -1,9 +1,11 @@
 """As-of matching without unbounded groups.
 
 For each left row, the last right row (in time, then in order) with the same keys and a time not after it.
-Both sides are cut into time buckets. Within a (keys, bucket) a running window carries the last right row; rows that
-find none take the last right row of an earlier bucket, which a second running window carries over one row per
-(keys, bucket). So a key that holds a third of all rows is spread over its buckets, and no pairs are formed.
+The right side is cut into time buckets and gathered in a list per (keys, bucket); beside it stands the last right row of an earlier bucket, which a
+running window carries over one row per (keys, bucket). A left row is joined with the one row of its keys and bucket: it is never grouped itself, so that
+a key or a bucket with a third of all left rows is split as any skewed side of a join, and no pairs are formed.
+
+Buckets are given from coarse to fine. The finest ones are taken as soon as any list of coarser ones would be longer than CROWDED.
 """
 
 from __future__ import annotations
@@ -11,32 +13,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Right rows of one (keys, bucket) from which on finer buckets are tried.
+CROWDED = 256
+
+
+def _key(keys: list[str]) -> Column:
+    return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key")  # never null itself, so plain equality holds for null keys too
+
 
-def last_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, bucket: Column | str, value: str, descending: bool = False, asked: DataFrame | None = None) -> DataFrame:
+def fine_enough(right: DataFrame, keys: list[str], buckets: list[Column | str], most: int = CROWDED) -> Column:
+    """The first of the buckets in which no keys have more than `most` right rows, or the last."""
+    cuts = [F.expr(b) if isinstance(b, str) else b for b in buckets]
+    for cut in cuts[:-1]:
+        if right.groupBy(_key(keys), cut.alias("__bucket")).count().where(F.col("count") > most).isEmpty():
+            return cut
+    return cuts[-1]
+
+
+def last_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, buckets: Column | str | list[Column | str], value: str, descending: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """left with a column `value`: the right side's `value` (never null there) of the last row at or before.
 
     Both sides have the columns `keys` and `time`; the right side also has `value`, of one row per (keys, time).
-    bucket: an expression over `time` that never decreases with it. descending: the first row at or after instead.
+    buckets: expressions over `time` that never decrease with it, coarse ones first. descending: the first row at or after instead.
     asked: rows with the same keys and times as the left's, if they are cheaper to get than the left itself. Null keys equal each other; a null time
     on the left finds nothing, on the right is found by nothing. The left's other columns stay; their names may not begin with __."""
-    cut = F.expr(bucket) if isinstance(bucket, str) else bucket
-    along = (lambda c: F.col(c).desc()) if descending else F.col
-    own = [c for c in left.columns if c not in (*keys, time)]
+    right = right.where(F.col(time).isNotNull())
+    cut = F.when(F.col(time).isNotNull(), fine_enough(right, keys, buckets if isinstance(buckets, list) else [buckets]))
+    key, own = _key(keys), [c for c in left.columns if c not in (*keys, time)]
     kind = right.schema[value].dataType
-    key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).alias("__key")  # never null itself, so plain equality holds for null keys too
-    a = left.select(key, time, F.lit(1).alias("__side"), F.struct(*(left[c] for c in own) or [F.lit(0).alias("__none")]).alias("__own"), F.lit(None).cast(kind).alias(value))
-    b = right.where(F.col(time).isNotNull()).select(key, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), value)
-    cut = F.expr(bucket) if isinstance(bucket, str) else bucket
-    a, b = a.withColumn("__bucket", cut), b.withColumn("__bucket", cut)
-    inside = Window.partitionBy("__key", "__bucket").orderBy(along(time), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    near = a.unionByName(b).withColumn("__near", F.last(value, ignorenulls=True).over(inside)).where("__side = 1")
-    # one row per bucket of either side, made small before it is shuffled; the join below then needs no further shuffle of the left side
-    ends = b.groupBy("__key", "__bucket").agg((F.min_by if descending else F.max_by)(value, time).alias("__end"))
-    asked = (left if asked is None else asked).select(key, cut.alias("__bucket")).where("__bucket is not null").distinct().withColumn("__end", F.lit(None).cast(kind))
-    steps = ends.unionByName(asked).groupBy("__key", "__bucket").agg(F.first("__end", ignorenulls=True).alias("__end"))
-    before = Window.partitionBy("__key").orderBy(along("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).where("__carried is not null")
-    carried = carried.select(F.col("__key").alias("__k"), F.col("__bucket").alias("__b"), "__carried")
-    found = F.when(F.col(time).isNotNull(), F.coalesce("__near", "__carried"))
-    out = near.join(carried, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__b")), "left")
+    entry = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    lists = right.select(key, cut.alias("__bucket"), entry.alias("__entry")).groupBy("__key", "__bucket").agg(F.collect_list("__entry").alias("__list"))
+    asked = (left if asked is None else asked).select(key, cut.alias("__bucket")).where("__bucket is not null").distinct().withColumn("__list", F.lit(None).cast(lists.schema["__list"].dataType))
+    steps = lists.unionByName(asked).groupBy("__key", "__bucket").agg(F.first("__list", ignorenulls=True).alias("__list"))
+    none = F.lit(None).cast(lists.schema["__list"].dataType.elementType)
+    later = (lambda x, y: x["t"] < y["t"]) if descending else (lambda x, y: x["t"] > y["t"])
+
+    def last(entries: Column, within) -> Column:
+        return F.aggregate(entries, none, lambda best, x: F.when(within(x) & (best.isNull() | later(x, best)), x).otherwise(best))["v"]
+
+    order = F.col("__bucket").desc() if descending else F.col("__bucket")
+    before = Window.partitionBy("__key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("__end", last(F.col("__list"), lambda x: F.lit(True))).withColumn("__carried", F.last("__end", ignorenulls=True).over(before))
+    steps = steps.select(F.col("__key").alias("__k"), F.col("__bucket").alias("__b"), "__list", "__carried")
+    placed = left.select(key, F.col(time), F.struct(*(left[c] for c in own) or [F.lit(0).alias("__none")]).alias("__own"), cut.alias("__bucket"))
+    out = placed.join(steps, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__b")), "left")
+    here = (lambda x: x["t"] >= F.col(time)) if descending else (lambda x: x["t"] <= F.col(time))
+    found = F.coalesce(last(F.col("__list"), here), F.col("__carried")).cast(kind)
     return out.select(*(F.col("__key")[f"k{i}"].alias(k) for i, k in enumerate(keys)), time, *(F.col("__own")[c].alias(c) for c in own), found.alias(value))

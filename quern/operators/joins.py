@@ -3,16 +3,19 @@
 Keys compare null-safely and must be of one type. Columns come out as prefix_name, those of a first (right join: of b first).
 
 Rolling joins keep every row of a. Forward finds b's greatest roll value not above a's, backward the least not below; the first of b's rows
-wins ties; null roll values match nothing. They are as-of windows over (keys, cell of the roll value), so no pairs are formed and a
-hot key is spread over its cells; cells are days of times, and quantiles of numbers. With an arbitrary predicate `limit` candidates must be
-judged pair by pair: the pairs of a key within the roll direction stream through the join into a partial aggregate that keeps the best one.
-A greatest distance should be given as `tolerance` instead, which costs nothing.
+wins ties; null roll values match nothing. They are as-of joins with lists of b's rows per (keys, cell of the roll value), so no pairs are formed and a
+hot key is spread over its cells: of times days, of numbers equal parts of their range, of texts their first characters, or smaller cells where those are crowded.
+
+A predicate `limit` says which candidates count. Where its refusal of a candidate holds for all farther ones, as that of any greatest distance, say nearest_only: then the nearest
+candidate alone is judged. A greatest distance may also be given as `tolerance`. With any other predicate the nearest candidate is judged first; only rows whose nearest is
+refused must be compared with all candidates of their key, which stream through a join into a partial aggregate that keeps the best one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +23,12 @@ from pyspark.sql import functions as F
 from ..errors import OperationError
 from ..frame import Frame, _call, _shown, _table
 from ..keys import parse_keys
+from ..sources.shared import written
 from ..types import text
 from .asof import last_before
 
-#: Cells that a numeric roll column is cut into.
-CELLS = 64
+#: Cells that the range of a numeric roll column is cut into, first and where they are crowded.
+CELLS = (64, 4_096, 262_144)
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,14 @@ class JoinedFrame:
     roll: tuple[str, str] | None = None
     limit: Callable[[Column, Column], Column] | None = None
     tolerance: object = None
+    nearest_only: bool = False
+
+    @cached_property
+    def _range(self) -> tuple[float, float] | None:
+        """Least and greatest roll value of b, if it is a number; found once."""
+        b = self._side(self.right, self.right_keys, "b", False, None)
+        c = F.col(f"bc{self.right.names.index(self.roll[1])}").cast("double")
+        return tuple(b.agg(F.min(F.when(F.abs(c) < float("inf"), c)), F.max(F.when(F.abs(c) < float("inf"), c))).first())
 
     @property
     def df(self) -> DataFrame:
@@ -85,13 +97,18 @@ class JoinedFrame:
         if x != y:
             raise OperationError(f"the roll columns are {x.simpleString()} and {y.simpleString()}")
         firsts = right.where("roll is not null").groupBy(*keys, "roll").agg(F.min_by("row", "ord").alias("row"), F.min("ord").alias("ord"))
+        found = last_before(left, firsts.withColumn("found", F.struct("roll", "row")).drop("row", "ord"), keys, "roll", self._cells(x.typeName()), "found", descending=not forward)
+        near = F.col("found.roll")
+        if self.tolerance is not None:
+            gap = F.col("roll") - near if forward else near - F.col("roll")
+            found = found.withColumn("found", F.when(gap <= F.lit(self.tolerance), F.col("found")))
         if self.limit is None:
-            found = last_before(left, firsts.withColumn("found", F.struct("roll", "row")).drop("row", "ord"), keys, "roll", _cells(firsts, "roll"), "found", descending=not forward)
-            if self.tolerance is not None:
-                gap = F.col("roll") - F.col("found.roll") if forward else F.col("found.roll") - F.col("roll")
-                found = found.withColumn("found", F.when(gap <= F.lit(self.tolerance), F.col("found")))
             return found.select(*own, *(F.col("found.row")[c].alias(c) for c in theirs))
-        numbered = left.withColumn("id", F.monotonically_increasing_id())
+        counts = F.coalesce(_call(self.limit, False, F.col("roll"), near).cast("boolean"), F.lit(False))
+        judged = found.withColumn("refused", near.isNotNull() & ~counts)
+        if self.nearest_only:
+            return judged.select(*own, *(F.when(~F.col("refused"), F.col("found.row"))[c].alias(c) for c in theirs))
+        judged = written(judged.withColumn("id", F.monotonically_increasing_id()))  # the ids must not change when a task is repeated
         r = right.where("roll is not null").select(*(F.col(k).alias(f"b{k}") for k in keys), F.col("roll").alias("broll"), "row", "ord")
         on = (F.col("broll") <= F.col("roll")) if forward else (F.col("broll") >= F.col("roll"))
         for k in keys:
@@ -99,9 +116,25 @@ class JoinedFrame:
         on = on & F.coalesce(_call(self.limit, False, F.col("roll"), F.col("broll")).cast("boolean"), F.lit(False))
         best = F.struct(F.col("broll"), -F.col("ord")) if forward else F.struct(F.col("broll"), F.col("ord"))
         pick = F.max_by if forward else F.min_by
-        kept = numbered.join(r, on, "left").groupBy("id").agg(F.first(F.struct(*own)).alias("own"), pick(F.col("row"), F.when(F.col("ord").isNotNull(), best)).alias("row"))
+        again = judged.where("refused").join(r, on, "left").groupBy("id").agg(F.first(F.struct(*own)).alias("own"), pick(F.col("row"), F.when(F.col("ord").isNotNull(), best)).alias("row"))
+        kept = judged.where("not refused").select(F.struct(*own).alias("own"), F.col("found.row").alias("row")).unionByName(again.drop("id"))
         return kept.select(*(F.col("own")[c].alias(c) for c in own), *(F.col("row")[c].alias(c) for c in theirs))
 
+    def _cells(self, kind: str) -> list[Column]:
+        """Expressions that never decrease with the roll value, from coarse to fine."""
+        roll = F.col("roll")
+        if kind in ("timestamp", "timestamp_ntz"):
+            return [F.date_trunc(unit, roll) for unit in ("day", "hour", "minute", "second")]
+        if kind == "date":
+            return [F.trunc("roll", "month"), roll]
+        if kind == "string":
+            return [F.substring(roll, 1, n) for n in (2, 4, 8, 32)]
+        low, high = self._range
+        if low is None or low == high:
+            return [F.when(roll.isNotNull(), F.lit(0))]
+        place = (roll.cast("double") / 2 - low / 2) / (high / 2 - low / 2)  # halves, as the range itself may not be finite
+        return [F.greatest(F.lit(-1), F.least(F.lit(n), F.floor(place * n))) for n in CELLS]
+
     def to_df(self, strict: bool = False, formatted: bool = False, df=None, cuts=(None, None)) -> DataFrame:
         out = self._plan(strict, cuts)
         if formatted:
@@ -129,22 +162,6 @@ class JoinedFrame:
         return _table(self.get_col_names(), [t for _, t in self.to_df().dtypes], [list(r.values()) for r in rows], return_size)
 
 
-def _cells(df: DataFrame, roll: str) -> Column:
-    """A number that never decreases with the roll value and cuts it into cells."""
-    kind = df.schema[roll].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.date_trunc("day", F.col(roll)).cast("string")
-    if kind == "date":
-        return F.trunc(roll, "month").cast("string")
-    if kind == "string":
-        return F.substring(roll, 1, 2)
-    points = df.agg(F.percentile_approx(F.col(roll).cast("double"), [i / CELLS for i in range(1, CELLS)], 10_000)).first()[0] or []
-    points = sorted(set(points))
-    if not points:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*(F.lit(p) for p in points)), lambda p: p <= F.col(roll).cast("double")))
-
-
 def _join(how: str, a: Frame, b: Frame, a_keys, b_keys, col_prefix, **more) -> JoinedFrame:
     for f in (a, b):
         if f.keys or f.aggs:
@@ -181,20 +198,20 @@ def outer_join(a: Frame, b: Frame, a_keys, b_keys, col_prefix=("1", "2")) -> Joi
     return _join("outer", a, b, a_keys, b_keys, col_prefix)
 
 
-def _rolling(how, a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, col_prefix) -> JoinedFrame:
+def _rolling(how, a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, nearest_only, col_prefix) -> JoinedFrame:
     for f, c in ((a, a_roll), (b, b_roll)):
         if c not in f.names:
             raise OperationError(f"no column {c!r}")
     if limit is not None and tolerance is not None:
         raise OperationError("either limit or tolerance can be given")
-    return _join(how, a, b, a_keys, b_keys, col_prefix, roll=(a_roll, b_roll), limit=limit, tolerance=tolerance)
+    return _join(how, a, b, a_keys, b_keys, col_prefix, roll=(a_roll, b_roll), limit=limit, tolerance=tolerance, nearest_only=nearest_only)
 
 
-def rolling_join_forward(a: Frame, b: Frame, a_keys, b_keys, a_roll: str, b_roll: str, limit=None, tolerance=None, col_prefix=("1", "2")) -> JoinedFrame:
-    """b's row of the greatest roll value not above a's. limit(a_roll, b_roll): which candidates count at all."""
-    return _rolling("forward", a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, col_prefix)
+def rolling_join_forward(a: Frame, b: Frame, a_keys, b_keys, a_roll: str, b_roll: str, limit=None, tolerance=None, nearest_only: bool = False, col_prefix=("1", "2")) -> JoinedFrame:
+    """b's row of the greatest roll value not above a's. limit(a_roll, b_roll): which candidates count at all; nearest_only: what it refuses makes it refuse all that is farther."""
+    return _rolling("forward", a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, nearest_only, col_prefix)
 
 
-def rolling_join_backward(a: Frame, b: Frame, a_keys, b_keys, a_roll: str, b_roll: str, limit=None, tolerance=None, col_prefix=("1", "2")) -> JoinedFrame:
+def rolling_join_backward(a: Frame, b: Frame, a_keys, b_keys, a_roll: str, b_roll: str, limit=None, tolerance=None, nearest_only: bool = False, col_prefix=("1", "2")) -> JoinedFrame:
     """b's row of the least roll value not below a's."""
-    return _rolling("backward", a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, col_prefix)
+    return _rolling("backward", a, b, a_keys, b_keys, a_roll, b_roll, limit, tolerance, nearest_only, col_prefix)

@@ -59,7 +59,7 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         refs.where("key is null").join(texts, F.col("other") == F.col("known"), "left").withColumn("missing", F.col("known").isNull()).drop("known")
     )
     history = own.where("loaded_at is not null").groupBy("key", "other", "loaded_at").agg(F.max_by("removed", F.struct("parent_id", "removed")).alias("gone"))
-    state = last_before(flagged, history, ["key", "other"], "loaded_at", "date_trunc('day', loaded_at)", "gone", asked=refs)
+    state = last_before(flagged, history, ["key", "other"], "loaded_at", [f"date_trunc('{unit}', loaded_at)" for unit in ("day", "hour", "second")], "gone", asked=refs)
     reason = F.when(F.col("missing"), "missing").when(F.col("loaded_at").isNull(), None).when(F.col("gone").isNull(), "late").when(F.col("gone"), "deleted")
     return state.select("table_name", "row_id", F.date_format("loaded_at", "yyyy-MM").alias("period"), reason.alias("reason")).where("reason is not null")
 

@@ -353,7 +353,7 @@ def roll_tolerance(spark, d):
     from (select * from events where event_type = 'purchase') a left join (select * from events where event_type = 'click') b
     on a.user_id = b.user_id and b.ts <= a.ts and a.ts - b.ts <= interval 6 hours) where r = 1""")
 def roll_limit(spark, d):
-    j = rolling_join_forward(_events(spark, d, "purchase"), _events(spark, d, "click"), "user_id", "user_id", "ts", "ts", limit=lambda a, b: a - b <= F.expr("interval 6 hours"))
+    j = rolling_join_forward(_events(spark, d, "purchase"), _events(spark, d, "click"), "user_id", "user_id", "ts", "ts", limit=lambda a, b: a - b <= F.expr("interval 6 hours"), nearest_only=True)
     return j.to_df().select(F.col("1_event_id").alias("event_id"), F.col("2_event_id").alias("b_id"))
 
 

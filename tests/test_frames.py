@@ -192,6 +192,21 @@ def naive_roll(a, b, forward, ok=lambda x, y: True):
     return sorted(out, key=repr)
 
 
+def test_crowded_cells_are_cut(spark, monkeypatch):
+    from quern.operators import asof
+
+    cuts = [F.floor(F.col("t") / n) for n in (1000, 100, 10)]
+    right = spark.range(2000).selectExpr("1 as k", "id as t", "id as v")
+    chosen = [asof.fine_enough(right, ["k"], cuts, most).__str__() for most in (1000, 999, 99, 5)]
+    assert [c.split(",")[-1].strip(" )>'") or c for c in chosen] == [str(x).split(",")[-1].strip(" )>'") or str(x) for x in (cuts[0], cuts[1], cuts[2], cuts[2])]
+    monkeypatch.setattr(asof, "CROWDED", 5)
+    for kind in ("string", "timestamp_ntz", "double"):
+        make = {"string": "lpad(id, 6, '0')", "timestamp_ntz": "cast(timestamp_seconds(id * 61) as timestamp_ntz)", "double": "cast(id as double)"}[kind]
+        a = q.dataframe(spark.range(0, 900, 7).selectExpr("1 as k", f"{make} as t", "id"))
+        b = q.dataframe(spark.range(0, 900, 3).selectExpr("1 as k", f"{make} as t", "id"))
+        assert {(r["1_id"], r["2_id"]) for r in q.rolling_join_forward(a, b, "k", "k", "t", "t").to_df().collect()} == {(i, i // 3 * 3) for i in range(0, 900, 7)}
+
+
 @pytest.mark.parametrize("kind", ["int", "double", "date"])
 def test_rolling_joins_against_all_pairs(spark, kind):
     import datetime
@@ -211,6 +226,10 @@ def test_rolling_joins_against_all_pairs(spark, kind):
         for join, forward in ((q.rolling_join_forward, True), (q.rolling_join_backward, False)):
             got = join(fa, fb, "k", "k", "t", "t", limit=lambda x, y: F.abs(x - y) >= 3).to_df()
             assert sorted(((r["1_i"], r["2_i"]) for r in got.collect()), key=repr) == naive_roll(a, b, forward, far)
+            got = join(fa, fb, "k", "k", "t", "t", limit=lambda x, y: F.abs(x - y) <= 1, nearest_only=True).to_df()
+            assert sorted(((r["1_i"], r["2_i"]) for r in got.collect()), key=repr) == naive_roll(a, b, forward, lambda x, y: abs(x - y) <= 1)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
         got = q.rolling_join_backward(fa, fb, "k", "k", "t", "t", tolerance=2).to_df()
         assert sorted(((r["1_i"], r["2_i"]) for r in got.collect()), key=repr) == naive_roll(a, b, False, lambda x, y: abs(x - y) <= 2)
 
