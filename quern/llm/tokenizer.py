@@ -8,8 +8,8 @@ The transducer reads bytes from left to right. Each prefix of a pretoken has exa
 the one token that ends there, encodes itself and stands beside the encoding of what precedes it unchanged (such pairs
 are judged by the merges along the inner edges of the two tokens). A future token reaches back at most `reach` bytes, the longest token's length; so
 only the encodings of the last `reach` prefixes can still be continued, and what all of them begin with is stable and is emitted. The
-merge list's sufficient lookahead bounds how far the encodings that remain can differ, so memory stays constant however
-long a pretoken is. Decoding is an incremental UTF-8 state machine over the tokens' bytes.
+merge list's sufficient lookahead, computed with the list, bounds how far the encodings that remain can differ: what lies further back is emitted
+at once, so memory stays constant however long a pretoken is. Decoding is an incremental UTF-8 state machine over the tokens' bytes.
 
 Defined results: null and empty texts have no ids (an empty list). Special tokens in a text are ordinary text. Repeated documents
 are encoded each for itself. Ids decode to the text exactly; ids that end inside a character, or bytes that aren't
@@ -47,6 +47,7 @@ class Merges:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.reach = max(map(len, ranks))
+        self.lookahead = self.sufficient_lookahead()
         self.ending: dict[bytes, int] = {}  # longest token by its last two bytes
         for b in ranks:
             end = b[-2:]
@@ -165,6 +166,11 @@ class Transducer:
             live.discard(last)
             live.add(last - len(self.m.bytes_of[self.last[last]]))
         cut = live.pop()
+        if not cut and len(self.data) > self.m.lookahead:  # the paths still differ, but what lies further back than this is the same in all continuations
+            for token in self._path(len(self.data)):
+                if (end := cut + len(self.m.bytes_of[token])) > len(self.data) - self.m.lookahead:
+                    break
+                cut = end
         self.most = max(self.most, len(self.data) - cut)
         if not cut:
             return []
@@ -247,10 +253,10 @@ class Encoder:
         return counts, [ids]
 
     def _cut(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
-        """Parts of a long text between a letter and a single space before a letter: a pretoken always starts there."""
+        """Parts of a long text, cut where a run of letters or numbers ends: a pretoken always starts there, and nothing that follows changes those before it."""
         import regex
 
-        begin, border = 0, regex.compile(r"(?<=\p{L}) (?=\p{L})")
+        begin, border = 0, regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
         while begin < len(text):
             m = border.search(text, begin + PIECE) if begin + PIECE < len(text) else None
             end = m.start() if m else len(text)

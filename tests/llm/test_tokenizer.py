@@ -53,10 +53,28 @@ def test_long_texts_are_cut_where_a_pretoken_starts(ranks, public, monkeypatch):
 
     monkeypatch.setattr(module, "PIECE", 50)
     monkeypatch.setattr(arrays.pieces, "__defaults__", (50,))
-    texts = ["it's  a long\n\n text, isn't it? " * 30, "no" * 200, "a b"]
+    texts = ["it's  a long\n\n text, isn't it? " * 30, "no" * 200, "a b", "a'll1'S. \n\n3x's'" * 40, "x1" * 300, "1,2;3\t\t4" * 90, "中文。" * 200, "'s" * 300, "don't\n" * 99]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(PIECES) for _ in range(600)) for _ in range(60)]
     assert split(*Encoder(ranks)(texts)) == [public.encode_ordinary(t) for t in texts]
 
 
+def test_what_lies_behind_the_lookahead_is_emitted():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"ba": 257, b"abab": 258, b"aa": 259}
+    merges, rng = Merges(ranks), random.Random(4)
+    assert merges.lookahead == merges.sufficient_lookahead() == 4 * 4
+    late = []
+    for _ in range(300):
+        data = bytes(rng.choice(b"ab") for _ in range(200)) if _ % 3 else rng.choice([b"a", b"ab", b"ba", b"aab"]) * 90
+        t = Transducer(merges)
+        out = []
+        for i in range(0, len(data), 7):
+            out += t.feed(data[i : i + 7])
+            late.append(len(t.data))
+        assert out + t.finish() == merges.plain(data)
+    assert max(late) <= merges.lookahead + 8 * merges.reach
+
+
 @pytest.mark.parametrize("base", ["ab", "aaa", "lollollo", "中", "=-", "abcdefghijklmnopqrstuvwxyz"])
 def test_the_transducer_streams_in_constant_memory(ranks, base):
     whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
