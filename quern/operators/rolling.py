@@ -64,12 +64,11 @@ def calendar_totals(totals: DataFrame, periods: tuple[int, ...] = (7, 30)) -> Da
 
 def sales_by_day(sales: DataFrame, instant) -> DataFrame:
     """(entity, day, total) of sales. instant: the function of timestamps.instant_column. Each ticket counts once, by its row of the least sale_id; rows without ticket
-    count each for itself; sold counts if it is a whole number; days are days since 1970 in UTC."""
+    count each for itself; sold counts if it is a whole number; days are days since 1970 in UTC. Texts are parsed where they are read, so that numbers are shuffled."""
     sales = columns(sales, "sale_id", "ticket", "date", "feed", "cust", "sold")
     ticket = strip(F.col("ticket"))
     known = F.when(ticket != "", ticket)
-    once = sales.select(known.alias("ticket"), F.when(known.isNull(), F.col("sale_id")).alias("lone"), F.struct("sale_id", "date", "feed", "cust", "sold").alias("row"))
-    once = once.groupBy("ticket", "lone").agg(F.min("row").alias("row")).select("row.*")
-    valued = once.select(strip(F.col("cust")).alias("cust"), "date", "feed", whole_number(F.col("sold")).alias("sold")).where("sold is not null and cust is not null")
-    dated = valued.withColumn("day", F.floor(instant(F.col("date"), F.col("feed")) / F.lit(DAY)))
-    return daily_totals(dated, "cust", "day", "sold")
+    day = F.floor(instant(F.col("date"), F.col("feed")) / F.lit(DAY)).cast("int")
+    read = sales.select(known.alias("ticket"), F.when(known.isNull(), F.col("sale_id")).alias("lone"), "sale_id", day.alias("day"), strip(F.col("cust")).alias("cust"), whole_number(F.col("sold")).alias("sold"))
+    once = read.groupBy("ticket", "lone").agg(F.min(F.struct("sale_id", "day", "cust", "sold")).alias("row")).select("row.*")
+    return daily_totals(once.where("cust is not null").withColumn("day", F.col("day").cast("bigint")), "cust", "day", "sold")
