@@ -274,7 +274,7 @@ class Frame:
                     raise OperationError(f"{a.name} folds a whole table; it has no grouped form")
                 parts.append(a.fold(rows, values[c]).withColumnRenamed("value", f"a{i}"))
             elif a.listing:
-                parts.append(a.listing(rows, keys, values[c]).withColumnRenamed("value", f"a{i}"))
+                parts.append(a.listing(rows, keys, values[c], nulls).withColumnRenamed("value", f"a{i}"))
         joined = _joined(parts, keys)
         many = [a.many for a, _, _ in self.aggs]
         if any(many):

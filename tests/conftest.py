@@ -24,6 +24,9 @@ def spark():
     session.stop()
 
 
+# The rows of the three example tables.
+
+
 @pytest.fixture
 def employees(tmp_path):
     p = tmp_path / "employees.csv"

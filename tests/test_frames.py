@@ -161,6 +161,29 @@ def test_opaque_aggregates_and_folds(spark):
     assert rows(empty.aggregate(total, "v").aggregate("max", "v").aggregate("count", "v")) == [(None, None, 0)]
 
 
+def test_medians_and_skews_against_the_engine(spark):
+    rng = random.Random(11)
+    values = lambda: rng.choice([None, 0.0, -0.0, float("inf"), float("nan"), rng.gauss(0, 1e4), float(rng.randrange(4)), 10.0 ** rng.randrange(-8, 300), -(10.0 ** rng.randrange(-8, 12))])
+    data = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), values()) for _ in range(900)] + [("one", 3.5), ("two", 1.0), ("two", 2.0), ("none", None), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(3)
+    plain = lambda found: sorted((tuple(None if v is None else repr(v) for v in r) for r in found), key=repr)
+    f = q.dataframe(df).group_by("k").aggregate("median", "v").aggregate("count", "v", "n")
+    want = df.groupBy("k").agg(F.median("v"), F.count(F.lit(1)))
+    assert plain(f.to_df().collect()) == plain(want.collect())
+    assert plain(q.dataframe(df).group_by("k").aggregate("median", "v").to_df().collect()) == plain(want.select("k", "median(v)").collect())
+    strict = df.groupBy("k").agg(F.when(F.count("v") == F.count(F.lit(1)), F.median("v")))
+    assert plain(f.null_rule("strict").to_df().select("k", "median(v)").collect()) == plain(strict.collect())
+    whole = df.where("abs(v) < 1e6")
+    assert plain(q.dataframe(whole).aggregate("median", "v").to_df().collect()) == plain(whole.agg(F.median("v")).collect())
+    assert plain(q.dataframe(df.limit(0)).aggregate("median", "v").aggregate("count", "v").to_df().collect()) == [(None, "0")]
+    assert q.dataframe(df.limit(0)).group_by("k").aggregate("median", "v").to_df().collect() == []
+    skew = {r.k: r["skew(v)"] for r in q.dataframe(whole).group_by("k").aggregate("skew", "v").to_df().collect()}
+    for r in whole.groupBy("k").agg((3 * (F.avg("v") - F.median("v"))).alias("top"), F.stddev_samp("v").alias("sd")).collect():
+        assert skew[r.k] == (pytest.approx(r.top / r.sd) if r.sd else None)
+    texts = spark.createDataFrame([("10",), ("9",), ("8",)], "v string")
+    assert rows(q.dataframe(texts).aggregate("median", "v")) == [(9.0,)]
+
+
 def test_joins_are_null_safe_and_typed(spark):
     a = small(spark, [(1, "p"), (None, "q"), (3, "r")], "k int, x string")
     b = small(spark, [(1, 10), (None, 20), (4, 40), (1, 11)], "k int, y int")
