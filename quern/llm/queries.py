@@ -89,6 +89,19 @@ _P9 = f"""
         windows as (select distinct doc_id, w[i : i + 4] as g from docs, lateral (select unnest(range(1, len(w) - 3)) as i)),
         hits as (select doc_id, item_id, n, unnest(range(i, i + 5)) as p from windows join grams using (g))
     select doc_id, item_id, count(distinct p) as words, any_value(n) as item_words from hits group by 1, 2 having count(distinct p) >= 0.25 * any_value(n)"""
+_INVISIBLE = r"[\x{200B}\x{AD}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+#: Texts in parts, words and what is between them; a word goes with the run of a shared n-gram that it lies in, what follows it with the run that goes on behind it.
+_P9_SPANS = rf"""
+    with items as (select {_words('text')} as w from eval_items),
+        grams as (select distinct w[i : i + 4] as g from items, lateral (select unnest(range(1, len(w) - 3)) as i)),
+        docs as (select doc_id, text, {_words('text')} as w, regexp_extract_all(text, '[\p{{L}}\p{{N}}](?:{_INVISIBLE}*[\p{{L}}\p{{N}}])*|[^\p{{L}}\p{{N}}]+') as parts from documents),
+        hits as (select doc_id, i from (select doc_id, i, w[i : i + 4] as g from docs, lateral (select unnest(range(1, len(w) - 3)) as i)) semi join grams using (g)),
+        words as (select distinct doc_id, unnest(range(i, i + 5)) as k, true as is_word from hits union select distinct doc_id, unnest(range(i, i + 4)), false from hits),
+        cut as (select doc_id, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as j from docs where doc_id in (select doc_id from hits)),
+        placed as (select *, regexp_matches(part, '^[\p{{L}}\p{{N}}]') as is_word, sum(case when regexp_matches(part, '^[\p{{L}}\p{{N}}]') then 1 else 0 end) over (partition by doc_id order by j) as k from cut),
+        kept as (select doc_id, string_agg(part, '' order by j) as text from (select * from placed anti join words using (doc_id, k, is_word)) group by doc_id)
+    select doc_id, text from documents where doc_id not in (select doc_id from hits)
+    union all select doc_id, coalesce(kept.text, '') from (select distinct doc_id from hits) left join kept using (doc_id)"""
 _NAME = r"""nullif(trim(regexp_replace(lower("EmployeeName"), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '')"""
 _P5_SIDES = "a as (select * from {0}), b as (select * from {1})".format(
     *(instants(f'(select {key}, {_NAME} as name, "UpdateDate" as text, feed from {name})') for name, key in (("employees", "emp_row"), ("employee_info", "info_row")))
@@ -99,6 +112,7 @@ ORACLES = {
         qualify row_number() over (partition by emp_row order by abs(a.utc_micros - b.utc_micros), info_row) = 1""",
     "p8_round_trip": "select count(*) as n_docs, count(*) as n_equal from documents",
     "p9_found": f"select doc_id, item_id from ({_P9})",
+    "p9_without_spans": _P9_SPANS,
     "p9_without_documents": f"select doc_id, text from documents where doc_id not in (select doc_id from ({_P9}))",
     "p9_report": f"select item_id, count(*) as n_docs, max(words / item_words) as most from ({_P9}) group by 1",
 }
