@@ -126,20 +126,24 @@ def day(n):
     return datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=6 * n)
 
 
-def test_last_before_carries_over_buckets(spark):
+@pytest.mark.parametrize("crowded", [256, 1])
+def test_last_before_carries_over_buckets(spark, monkeypatch, crowded):
+    monkeypatch.setattr(asof, "CROWDED", crowded)
     rng = random.Random(3)
     left = [(rng.choice([1, 2, None]), rng.choice([None, *map(day, range(80))]), i) for i in range(200)]
     right = {(rng.choice([1, 2, None]), day(rng.randrange(80))): i for i in range(30)}
     a = spark.createDataFrame(left, "k int, t timestamp_ntz, id int")
     b = spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "k int, t timestamp_ntz, v int")
     for down in (False, True):
-        got = {r.id: r.v for r in asof.last_before(a, b, ["k"], "t", "date_trunc('day', t)", "v", down).collect()}
+        got = {r.id: r.v for r in asof.last_before(a, b, ["k"], "t", ["date_trunc('month', t)", "date_trunc('day', t)"], "v", down).collect()}
         for k, t, i in left:
             near = [(s, v) for (kk, s), v in right.items() if kk == k and t is not None and (s >= t if down else s <= t)]
             assert got[i] == ((min if down else max)(near)[1] if near else None)
 
 
-def test_orphans(spark):
+@pytest.mark.parametrize("crowded", [256, 1])
+def test_orphans(spark, monkeypatch, crowded):
+    monkeypatch.setattr(asof, "CROWDED", crowded)
     rng = random.Random(4)
     keys = ["1", " 1 ", "001", "2", "3", "70000", "70001", "-5", "x1", "9" * 30, "", " ", None, "4"]
     parents = [(i, rng.choice(keys[:-1]), day(rng.randrange(20)), rng.choice([True, False, None])) for i in range(40)] + [(99, "4", None, False)]

@@ -230,10 +230,14 @@ def test_crowded_cells_are_cut(spark, monkeypatch):
         assert {(r["1_id"], r["2_id"]) for r in q.rolling_join_forward(a, b, "k", "k", "t", "t").to_df().collect()} == {(i, i // 3 * 3) for i in range(0, 900, 7)}
 
 
-@pytest.mark.parametrize("kind", ["int", "double", "date"])
-def test_rolling_joins_against_all_pairs(spark, kind):
+@pytest.mark.parametrize("kind,crowded", [("int", 2), ("double", 256), ("double", 3), ("date", 2)])
+def test_rolling_joins_against_all_pairs(spark, monkeypatch, kind, crowded):
     import datetime
 
+    from quern.operators import asof
+
+    monkeypatch.setattr(asof, "CROWDED", crowded)
+
     rng = random.Random(kind)
     make = (lambda v: None if v is None else datetime.date(2020, 1, 1) + datetime.timedelta(days=v * 5)) if kind == "date" else (lambda v: v if v is None or kind == "int" else float(v))
     some = lambda n: [(rng.choice([None, 1, 2]), rng.choice([None, *range(25)]), i) for i in range(n)]
