@@ -109,6 +109,16 @@ def sink_of_join(spark, d):
     return j.compute(scratch(spark), select=["x_n_name", "y_r_name"]).to_df()
 
 
+@query("""select row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) - 1 as line, c_mktsegment || ',' || c_custkey as text from customer""")
+def sink_sorted(spark, d):
+    """One file in sorted order, with the number of each line."""
+    path = scratch(spark)
+    f = frame(spark, d, "customer", "c_mktsegment", "c_acctbal", "c_custkey").sort(["+", "c_mktsegment", "-", "c_acctbal", "+", "c_custkey"])
+    f.compute(path, select=["c_mktsegment", "c_custkey"], header=False)
+    lines = dataframe(path, if_header=False, sep="\x01", spark=spark).rename_col("Col_1", "text").in_source_order()
+    return with_ordinal(lines, "line").select("line", "text")
+
+
 # ------------------------------------------------------------ joins, binding
 
 
