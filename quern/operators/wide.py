@@ -61,7 +61,7 @@ def cells(rows: DataFrame, types: dict[str, str]) -> DataFrame:
     named = rows.select("row_no", F.when(entity != "", entity).alias("family_id"), attribute_name(F.col("measure")).alias("measure"), "value")
     typed = named.where("family_id is not null and measure is not null").join(F.broadcast(kinds), "measure")  # MOST_COLUMNS rows at most
     typed = typed.withColumn("value", usable(F.col("value"), F.col("kind"))).where("value is not null")
-    return typed.groupBy("family_id", "place").agg(F.max_by("value", F.struct("row_no", "value")).alias("value"))
+    return typed.groupBy("family_id", "place").agg(F.max(F.struct("row_no", "value")).alias("last")).select("family_id", "place", "last.value")
 
 
 def characteristic_sets(settled: DataFrame) -> DataFrame:
