@@ -68,14 +68,14 @@ def _medians(df: DataFrame, keys: list[str], value: str, strict: bool) -> DataFr
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
     before = F.col("__upto") - F.col("__n")
     holds = F.col("__cell").isNotNull() & (((low > before) & (low <= F.col("__upto"))) | ((high > before) & (high <= F.col("__upto"))))
-    wanted = upto.where(holds).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__cell").alias("__c"), before.alias("__before"), low.alias("__low"), high.alias("__high"))
+    wanted = upto.where(holds).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__cell").alias("__c"), before.alias("__before"), low.alias("__low"), high.alias("__high"), "__nulls")
     near = df.select(*keys, value, _cell(value).alias("__cell")).join(wanted, _same(keys) & (F.col("__cell") == F.col("__c")))
     ranked = near.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(value)))
     middle = ranked.where((F.col("__rank") == F.col("__low")) | (F.col("__rank") == F.col("__high")))
-    found = middle.groupBy(*keys).agg(F.avg(value).alias("value"))
-    groups = upto.groupBy(*keys).agg(F.max("__nulls").alias("__nulls")).select(*(F.col(k).alias(f"__{k}") for k in keys), "__nulls")
-    out = groups.join(found, _same(keys), "left").select(*(F.col(f"__{k}").alias(k) for k in keys), "value", "__nulls")
-    return out.select(*keys, F.when(~F.col("__nulls"), F.col("value")).alias("value") if strict else F.col("value"))
+    found = middle.groupBy(*keys).agg(F.avg(value).alias("value"), F.max("__nulls").alias("__nulls"))
+    if keys:  # groups without values have a row too
+        found = found.unionByName(upto.where("__all = 0").select(*keys, F.lit(None).cast("double").alias("value"), F.lit(True).alias("__nulls")))
+    return found.select(*keys, F.when(~F.col("__nulls"), F.col("value")).alias("value") if strict else F.col("value"))
 
 
 def _skews(df: DataFrame, keys: list[str], value: str, strict: bool) -> DataFrame:
